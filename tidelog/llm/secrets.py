@@ -1,0 +1,77 @@
+"""Secret scanning over an incremental blob ledger.
+
+Every version of every path is addressed by the SHA-256 of its content. Only pairs of blob and rule version
+that the ledger has not seen are scanned, each blob once however many paths hold it; findings are then joined
+back to all paths. Base kinds (assign, access, hex) are exact patterns; further rules add well-known key formats.
+
+Scale: one shuffle brings a copy of each unseen blob together (copies merge before it), and one joins blobs with
+findings back to paths. That join is salted, so a blob held by a third of all paths is spread over `SALTS` tasks
+and more where Spark splits skewed partitions.
+
+Defined results: null texts are empty; ties and repeated rows are rows of their own; an empty table gives an
+empty result; columns other than path and content pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .spans import Finder, joined, overlaps_none, with_spans
+
+ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
+_VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
+BASE = {
+    "assign": Finder("assign", ASSIGN, lambda t: t.rlike(r"(?i:passw|secret|token|api_?key)"), lambda m: F.length(F.regexp_replace(m, _VALUE, "")) >= 12),
+    "access": Finder("access", r"AKIA[A-Z0-9]{14,}+", lambda t: F.contains(t, F.lit("AKIA"))),
+    "hex": Finder("hex", r"[0-9a-f]{16,}+", lambda t: t.rlike(r"[0-9a-f]{16}")),
+}
+#: Published key formats beyond the base kinds.
+RULES = {
+    "pem": Finder("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", lambda t: F.contains(t, F.lit("PRIVATE KEY-----"))),
+    "jwt": Finder("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", lambda t: F.contains(t, F.lit("eyJ"))),
+    "forge": Finder("forge", r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+)", lambda t: t.rlike(r"gh[pousr]_|glpat-")),
+    "chat": Finder("chat", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", lambda t: F.contains(t, F.lit("xox"))),
+    "url": Finder("url", r"[a-z][a-z0-9+]{1,20}://[^\x20/:@\"']{1,64}:[^\x20/@\"']{3,64}@[A-Za-z0-9.-]{3,}+", lambda t: t.rlike(r"://[^\x20/@]*:[^\x20/@]*@")),
+}
+RULE_VERSION = 1
+SALTS = 16
+LEDGER = "blob string, rule_version int, base array<struct<start:bigint,rank:int,kind:string,end:bigint>>, added array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
+def scan(blobs: DataFrame, content: str = "content", rule_version: int = RULE_VERSION) -> DataFrame:
+    """Ledger rows for blobs (blob, content): the base spans, and spans of other rules that overlap none of them."""
+    found = with_spans(blobs.select("blob", content), content, BASE | RULES)
+    slim = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
+    both = found.select("blob", F.concat(*BASE).alias("b"), F.concat(*RULES).alias("a"))
+    return both.select("blob", F.lit(rule_version).alias("rule_version"), slim(F.col("b")).alias("base"), slim(F.filter("a", lambda s: overlaps_none(s, F.col("b")))).alias("added"))
+
+
+def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """One row (blob, content) for each blob that the ledger lacks for this rule version."""
+    if ledger is not None:
+        versions = versions.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    return versions.groupBy("blob").agg(F.first("content").alias("content"))
+
+
+def run(paths: DataFrame, content: str, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(findings of every row of `paths`, in place of `content`; new rows for the ledger, to be appended to it)."""
+    rest = [c for c in paths.columns if c != content]
+    addressed = lambda: F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("__blob")
+    versions = paths.select(addressed().alias("blob"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    fresh = scan(unseen(versions, ledger, rule_version), rule_version=rule_version)
+    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("rule_version") == rule_version))
+    hits = known.filter((F.size("base") > 0) | (F.size("added") > 0)).select(
+        F.col("blob").alias("__blob"), "base", "added", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    )
+    keyed = paths.select(*rest, addressed()).withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in rest]), F.lit(SALTS)).cast("int") if rest else F.lit(0))
+    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    out = keyed.join(hits, ["__blob", "__salt"], "left").select(*rest, F.col("__blob").alias("blob"), F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    return out, fresh
+
+
+def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The contract's columns for a table with doc_id and text."""
+    found, _ = run(docs.select("doc_id", "text"), "text", ledger)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
