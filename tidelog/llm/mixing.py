@@ -5,7 +5,7 @@ Every source gets a target share of all words (waterfilling under a repeat limit
 D(t) = target * (t + tilt * (t * t - t)), and a document that starts at cumulative word c of its source is trained at
 the position t with D(t) = c. Documents are then range-sorted by position.
 
-The running word count of a source is never taken in one task: documents are dealt to BUCKETS hash buckets of each
+The running word count of a source is never taken in one task: documents are dealt to 4096 hash buckets of each
 source, sizes are summed for each bucket, and only those sums are accumulated over a source. A source with a third of all
 rows is spread over all buckets.
 
@@ -24,7 +24,8 @@ from pyspark.sql import Window as W
 
 from .common import WORD, cut, whole
 
-BUCKETS = 4096
+#: Hash buckets of a source are the first hexadecimal digits of the hash, so that buckets follow the order by hash.
+BUCKET_DIGITS = 3
 CYCLE = (1, 2, 3)
 MOST_REPEATS = 3
 #: Tilts of the schedules, repeating like the weights: early, even and late sources.
@@ -69,7 +70,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     aren't taken have none.
     """
     measured = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), sizes(docs, text).alias("size")))
-    dealt = measured.withColumn("h", F.xxhash64(F.col("id"), F.lit(97))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    dealt = measured.withColumn("h", F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256)).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = cut(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), most=most)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -91,4 +92,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns for a table with doc_id, text and source; `position` follows."""
     out = mixed(docs.select("doc_id", "text", "source"))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, pii, quality, secrets, warc
+from . import decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, pii, quality, secret_scan, warc
 from .common import table
 from .sql import SQL
 
@@ -19,7 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": lambda s, d: pii.report(docs(s, d)),
         "op2_quality": lambda s, d: quality.report(docs(s, d)),
-        "op3_secrets": lambda s, d: secrets.report(docs(s, d)),
+        "op3_secrets": lambda s, d: secret_scan.report(docs(s, d)),
         "op4_near_dedup": lambda s, d: near_dedup.report(docs(s, d)),
         "op5_html_text": lambda s, d: html_text.report(pages(s, d)),
         "op6_licenses": lambda s, d: licenses.report(docs(s, d)),
