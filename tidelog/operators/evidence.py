@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -92,20 +93,11 @@ def relevant_log(lines: DataFrame, redactions: dict[str, str] | None = None, mos
 
 def status_rows(spark: SparkSession, path: str) -> DataFrame:
     """(node_key, status fields) of a status map file."""
-    one = spark.read.option("wholetext", True).text(path)
-    parsed = one.select(F.from_json("value", f"map<string,struct<{_ddl(schemas.NODE_STATUS)}>>").alias("m"))
+    one = spark.read.text(path, wholetext=True)
+    parsed = one.select(F.from_json("value", f"map<string,{T.StructType.fromDDL(schemas.NODE_STATUS).simpleString()}>").alias("m"))
     return parsed.select(F.explode("m").alias("node_key", "s")).select("node_key", "s.*")
 
 
-def _ddl(columns: str) -> str:
-    """Column DDL as the fields of a struct type."""
-    depth, out = 0, ""
-    for i, c in enumerate(columns):
-        depth += (c in "<(") - (c in ">)")
-        out += ":" if c == " " and depth == 0 and columns[i - 1] not in ", :" else "" if c == " " and depth == 0 else c
-    return out
-
-
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
