@@ -115,10 +115,16 @@ def compiled(rules: tuple[Rule, ...], of: dict[str, Column]) -> Column:
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """Add statistics, base_failed and kept to the rows of `docs`."""
-    stats = statistics(docs, text)
+    """Add statistics, base_failed and kept to the rows of `docs`.
+
+    Both verdicts depend on a row number, which keeps the optimizer from pushing a filter on them down through the
+    projections: it would write the statistics out, again and again, into one huge condition.
+    """
+    stats = statistics(docs, text).withColumn("__fence", F.monotonically_increasing_id())
+    here = F.col("__fence") >= 0
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return stats.withColumns({"base_failed": failed}).withColumn("kept", ~F.col("base_failed") & compiled(rules, ratios(stats)))
+    kept = ~F.col("base_failed") & compiled(rules, ratios(stats))
+    return stats.withColumn("base_failed", failed & here).withColumn("kept", kept & here).drop("__fence")
 
 
 def report(docs: DataFrame) -> DataFrame:
