@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, cut, shared_dir
 
 MIN_CHARS, MIN_DOCS = 40, 5
+SALTS = 16
 SEGMENT_BITS, LEAST_BITS, MAX_BITS, PROBES = 20, 20, 27, 4
 _WHITE_BYTES = WHITE.encode()
 
@@ -160,7 +161,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     suspects = cut(src.mapInArrow(_suspects(shared, bits, min_chars), f"id {kind}, key binary"))
     pick = F.max if keep == "last" else F.min
     often = suspects.groupBy("key").agg(F.count("*").alias("n"), pick("id").alias("stays")).filter(F.col("n") >= min_docs).select("key", "stays")
-    gone = suspects.join(often, "key").filter(~F.col("id").eqNullSafe(F.col("stays"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("gone"))
+    # One line may stand in a third of all documents: its rows are spread over SALTS tasks, the short list of keys is repeated.
+    spread = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(spread, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("stays"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     held = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]), "left").select("row", "text", "gone")
     slim = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">"
