@@ -43,12 +43,18 @@ class Model:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.margin(x) + self.shift)))
 
-    def column(self, of: dict[str, Column]) -> Column:
-        """The calibrated probability, given a column for each feature."""
-        total = F.lit(float(self.base))
-        for t in self.trees:
-            total = total + _column(t, self.features, of)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total * F.lit(self.slope) + F.lit(self.shift))))
+    def sql(self, prefix: str = "") -> str:
+        """The calibrated probability as an SQL expression over fields named like the features, after `prefix`."""
+        total = " + ".join([_number(self.base), *(_sql(t, self.features, prefix) for t in self.trees)])
+        return f"(1D / (1D + exp(-(({total}) * {_number(self.slope)} + {_number(self.shift)}))))"
+
+    def column(self) -> Column:
+        """The calibrated probability of rows with a column for each feature."""
+        return F.expr(self.sql())
+
+
+def _number(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
 def _predict(t: Node, x: np.ndarray) -> np.ndarray:
@@ -58,10 +64,10 @@ def _predict(t: Node, x: np.ndarray) -> np.ndarray:
     return np.where(low, _predict(t.below, x), _predict(t.above, x))
 
 
-def _column(t: Node, names: Sequence[str], of: dict[str, Column]) -> Column:
+def _sql(t: Node, names: Sequence[str], prefix: str) -> str:
     if t.below is None:
-        return F.lit(float(t.value))
-    return F.when(of[names[t.feature]] <= F.lit(float(t.cut)), _column(t.below, names, of)).otherwise(_column(t.above, names, of))
+        return _number(t.value)
+    return f"CASE WHEN {prefix}`{names[t.feature]}` <= {_number(t.cut)} THEN {_sql(t.below, names, prefix)} ELSE {_sql(t.above, names, prefix)} END"
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, rate: float, l2: float) -> Node:

@@ -147,7 +147,8 @@ def fitted(spark: SparkSession, rows: int = MODEL_ROWS, precision: float = PRECI
 def find(docs: DataFrame, text: str = "text", rows: int = MODEL_ROWS, precision: float = PRECISION) -> DataFrame:
     """Replace `text` by `base` and `added`: arrays of spans (start, rank, kind, end, match, left, right).
 
-    Added spans overlap no base span, and of added spans that overlap each other the first generator's stays.
+    Added spans overlap no base span. Of added spans that overlap each other, a spelled-out address goes before an identity
+    number, and that before a telephone number.
     """
     model, least = fitted(docs.sparkSession, rows, precision)
     kinds = [*BASE, *GENERATORS]
@@ -159,11 +160,15 @@ def find(docs: DataFrame, text: str = "text", rows: int = MODEL_ROWS, precision:
         F.concat(*BASE).alias("base"),
         *[ranked(k, i).alias(k) for i, k in enumerate(GENERATORS)],
     )
-    chosen = lambda k, i: F.filter(F.col(k), lambda s: overlaps_none(s, F.col("base")) & (model.column(features(s)) >= F.lit(least[i])))
-    scored = gathered.select(*rest, "base", *[F.when(F.size(k) > 0, chosen(k, i)).otherwise(F.col(k)).alias(k) for i, k in enumerate(GENERATORS)])
-    first, second, third = (F.col(k) for k in GENERATORS)
-    both = F.concat(first, F.filter(second, lambda s: overlaps_none(s, first)))
-    added = F.concat(both, F.filter(third, lambda s: overlaps_none(s, first) & overlaps_none(s, second)))
+
+    # Features are computed once for a candidate, however many splits of the trees ask for them.
+    free = lambda k: F.filter(F.col(k), lambda s: overlaps_none(s, F.col("base")))
+    seen = lambda k: F.transform(free(k), lambda s: F.struct(s.alias("s"), F.struct(*[c.alias(n) for n, c in features(s).items()]).alias("f")))
+    seen_all = gathered.select(*rest, "base", *[seen(k).alias(k) for k in GENERATORS])
+    scored = seen_all.select(*rest, "base", *[F.expr(f"transform(filter(`{k}`, x -> {model.sql('x.f.')} >= CAST('{least[i]!r}' AS DOUBLE)), x -> x.s)").alias(k) for i, k in enumerate(GENERATORS)])
+    spelled, dialled, number = (F.col(k) for k in GENERATORS)
+    sure = F.concat(spelled, F.filter(number, lambda s: overlaps_none(s, spelled)))
+    added = F.concat(sure, F.filter(dialled, lambda s: overlaps_none(s, spelled) & overlaps_none(s, number)))
     return scored.select(*rest, "base", F.transform(added, lambda s: s.withField("rank", s["rank"] + len(BASE))).alias("added"))
 
 
