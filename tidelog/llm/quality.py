@@ -44,13 +44,16 @@ RULES = (
 )
 
 
+STATISTICS = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop", "n_lettered", "n_repeat_words")
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the statistics of `text` to the rows; `text` stays.
+    """Add the statistics of `text` to the rows; `text` stays, and columns with the name of a statistic are replaced.
 
     Windows are compared by 64-bit hashes within one text; two different windows of a text of n words share one with
     a probability of about n * n / 2 ** 65.
     """
-    rest = docs.columns
+    rest = [c for c in docs.columns if c not in STATISTICS]
     t = F.col("__t")
     step = docs.select(*rest, whole(F.col(text)).alias("__t"))
     step = step.select(
@@ -120,7 +123,7 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     Both verdicts depend on a row number, which keeps the optimizer from pushing a filter on them down through the
     projections: it would write the statistics out, again and again, into one huge condition.
     """
-    stats = statistics(docs, text).withColumn("__fence", F.monotonically_increasing_id())
+    stats = statistics(docs.drop("base_failed", "kept"), text).withColumn("__fence", F.monotonically_increasing_id())
     here = F.col("__fence") >= 0
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     kept = ~F.col("base_failed") & compiled(rules, ratios(stats))
