@@ -117,9 +117,15 @@ def gaps(segments: DataFrame, base_index: int = 0) -> DataFrame:
     return segments.join(starts.distinct(), F.col("start_index") == F.col("__end"), "left_anti")
 
 
-def assigned(batch: DataFrame, base: int, term: int, order: str = "arrival") -> DataFrame:
-    """A batch of proposals (at most 256) with contiguous indexes in queue order."""
-    return batch.withColumn("log_index", F.lit(base) + F.row_number().over(W.orderBy(order))).withColumn("term", F.lit(term))
+def assigned(batch: DataFrame, base: int, term: int, order: str = "arrival", block: int = 4096) -> DataFrame:
+    """Proposals with contiguous indexes in queue order, however many they are.
+
+    `order` is a dense integer: rows are ranked within blocks of it, and only the sums of blocks are accumulated in one task.
+    """
+    blocked = batch.withColumn("__b", F.floor(F.col(order) / block))
+    ahead = blocked.groupBy(F.col("__b").alias("__c")).count().select("__c", F.coalesce(F.sum("count").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    ranked = blocked.withColumn("__n", F.row_number().over(W.partitionBy("__b").orderBy(order))).join(ahead, F.col("__b").eqNullSafe(F.col("__c")))
+    return ranked.withColumn("log_index", F.lit(base) + F.col("__ahead") + F.col("__n")).withColumn("term", F.lit(term)).drop("__b", "__c", "__n", "__ahead")
 
 
 def encoded_bytes(log: DataFrame, column: str = "command", header: int = ENTRY_HEADER, by: tuple[str, ...] = ()) -> DataFrame:

@@ -107,10 +107,11 @@ def live_responses(responses: DataFrame, current: DataFrame) -> DataFrame:
     return met
 
 
-def union_peers(old: DataFrame, new: DataFrame, own_id: int) -> DataFrame:
-    """(node_id, addr) of both configurations without oneself; the new address wins."""
-    both = old.select("node_id", "addr", F.lit(0).alias("p")).unionByName(new.select("node_id", "addr", F.lit(1).alias("p")))
-    return both.filter(F.col("node_id") != own_id).groupBy("node_id").agg(F.max_by("addr", "p").alias("addr"))
+def union_peers(old: DataFrame, new: DataFrame, own_id: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., node_id, addr) of both configurations without oneself; the new address wins."""
+    own = [*by, "node_id"]
+    both = old.select(*own, "addr", F.lit(0).alias("p")).unionByName(new.select(*own, "addr", F.lit(1).alias("p")))
+    return both.filter(F.col("node_id") != own_id).groupBy(*own).agg(F.max_by("addr", "p").alias("addr"))
 
 
 def resolved(members: DataFrame, peers: DataFrame) -> DataFrame:
@@ -119,10 +120,11 @@ def resolved(members: DataFrame, peers: DataFrame) -> DataFrame:
     return members.join(over, F.col("node_id") == F.col("__n"), "left").withColumn("addr", F.coalesce("__a", "addr")).drop("__n", "__a")
 
 
-def target_changes(running: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node_id, action): replication to start and to stop."""
-    start = wanted.select("node_id").join(running, "node_id", "left_anti").withColumn("action", F.lit("start"))
-    stop = running.select("node_id").join(wanted, "node_id", "left_anti").withColumn("action", F.lit("stop"))
+def target_changes(running: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., node_id, action): replication to start and to stop."""
+    own = [*by, "node_id"]
+    start = wanted.select(*own).join(running, own, "left_anti").withColumn("action", F.lit("start"))
+    stop = running.select(*own).join(wanted, own, "left_anti").withColumn("action", F.lit("stop"))
     return start.unionByName(stop)
 
 

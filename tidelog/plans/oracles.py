@@ -145,3 +145,30 @@ select user_id, min(ts) as started, max(ts) as ended, min(ts) filter (where ts -
 select event_id, case when client_id % 3 <> 0 then '02' || {_be('o', 1)} || {_be('client_id + 1', 8)} || '0000000000000000' || {_be('s', 8)} else '01' || {_be('o', 1)} end || {_TAIL} as encoded,
  cast(null as varchar) as error, o as op, case when client_id % 3 <> 0 then s end as seq, {_KEY} as key, {_VALUE} as value from base""",
 }
+
+#: The same operators over all events. The statements above stay as they are.
+_INCOMING_WHOLE = "incoming as (select log_index, case when log_index >= 800 then term + 3 else term end as term, kind, k, coalesce(v, 0) + 7 as v from terms)"
+_CONFLICT_WHOLE = f"{_LOG}, {_TERMS}, {_INCOMING_WHOLE}, c as (select min(i.log_index) as first_conflict from incoming i left join terms t using (log_index) where t.term is null or t.term <> i.term)"
+_ACKS_WHOLE = """acks as (select client_id || '-' || k as key, cast(v as varchar) as value, log_index, case when log_index <= 6000 then 'before' else 'after' end as phase from log where op = 'PUT'),
+kstate as (select key, value from (select client_id || '-' || k as key, op, cast(v as varchar) as value, row_number() over (partition by client_id, k order by log_index desc) as rn from log) where rn = 1 and op = 'PUT'),
+checked as (select a.*, s.key is not null and a.value is not distinct from s.value as verified from acks a left join kstate s on a.key = s.key)"""
+_CHANGES_WHOLE = """o as (select distinct event_id // 400 as change, user_id as node_id from events where event_id % 400 < 200),
+n as (select distinct event_id // 400 as change, user_id as node_id from events where event_id % 400 >= 100)"""
+
+SQL |= {
+    "jn3_first_conflict_whole": f"with {_CONFLICT_WHOLE} select first_conflict from c",
+    "se5_conflict_repair_whole": f"with {_CONFLICT_WHOLE} select t.* from terms t, c where first_conflict is null or t.log_index < first_conflict union all select i.* from incoming i, c where i.log_index >= first_conflict",
+    "jn5_range_equality_whole": f"""with {_LOG}, {_TERMS}, last as (select max(log_index) as last from terms),
+others as (select 'equal' as pair, terms.* from terms union all select 'shorter', terms.* from terms, last where log_index < last
+ union all select 'changed', log_index, term, kind, k, case when log_index = last then coalesce(v, 0) + 1 else v end from terms, last),
+pairs as (select * from (values ('equal'), ('shorter'), ('changed')) p(pair))
+select pair, not exists (select log_index, term, kind, k, v from terms except select log_index, term, kind, k, v from others o where o.pair = p.pair)
+ and not exists (select log_index, term, kind, k, v from others o where o.pair = p.pair except select log_index, term, kind, k, v from terms) as same from pairs p""",
+    "jn9_waiters_whole": f"with {_LOG}, {_TERMS} select log_index, term + log_index % 2 as term, case when log_index % 2 = 0 then 'APPLIED' else 'ENTRY_LOST' end as outcome from terms",
+    "wn1_assigned_indexes_whole": "select event_id, 1000 + row_number() over (order by event_id) as log_index, 4 as term from events",
+    "se1_union_peers_whole": f"with {_CHANGES_WHOLE} select coalesce(o.change, n.change) as change, coalesce(o.node_id, n.node_id) as node_id, case when n.node_id is null then 'a' else 'b' end as addr from o full join n on o.change = n.change and o.node_id = n.node_id where coalesce(o.node_id, n.node_id) <> 7",
+    "jn13_target_changes_whole": f"with {_CHANGES_WHOLE} select n.change, n.node_id, 'start' as action from n anti join o on o.change = n.change and o.node_id = n.node_id union all select o.change, o.node_id, 'stop' from o anti join n on o.change = n.change and o.node_id = n.node_id",
+    "jn2_ack_verification_whole": f"with {_LOG}, {_ACKS_WHOLE} select count(*) as total_acknowledged, count(*) filter (where verified) as verified_acknowledged, count(*) filter (where not verified) as verification_missing from checked",
+    "jn2_verified_writes_whole": f"with {_LOG}, {_ACKS_WHOLE} select key, value, phase, log_index, verified from checked",
+    "ag23_ack_phases_whole": f"with {_LOG}, {_ACKS_WHOLE} select phase, count(*) as acknowledged from acks group by 1",
+}

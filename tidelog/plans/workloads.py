@@ -103,10 +103,23 @@ def jn3_first_conflict(s, d):
     return log_ops.first_conflict(_incoming(_log(s, d)), _terms(_log(s, d)))
 
 
+def _incoming_whole(log: DataFrame) -> DataFrame:
+    """A leader's entries for the whole log, all with values of their own; terms differ from index 800 on."""
+    return _terms(log).withColumn("term", F.when(F.col("log_index") >= 800, F.col("term") + 3).otherwise(F.col("term"))).withColumn("v", F.coalesce(F.col("v"), F.lit(0)) + 7)
+
+
+def jn3_first_conflict_whole(s, d):
+    return log_ops.first_conflict(_incoming_whole(_log(s, d)), _terms(_log(s, d)))
+
+
 def se5_conflict_repair(s, d):
     return log_ops.repaired(_terms(_log(s, d)), _incoming(_log(s, d))).select("log_index", "term", "kind", "k", "v")
 
 
+def se5_conflict_repair_whole(s, d):
+    return log_ops.repaired(_terms(_log(s, d)), _incoming_whole(_log(s, d))).select("log_index", "term", "kind", "k", "v")
+
+
 def jn5_range_equality(s, d):
     own = _terms(_log(s, d))
     same = log_ops.same_entries(own.filter("log_index < 300"), own.filter("log_index < 300"), ("term", "kind", "k", "v"))
@@ -114,6 +127,20 @@ def jn5_range_equality(s, d):
     return same.select(F.lit("equal").alias("pair"), "same").unionByName(other.select(F.lit("longer").alias("pair"), "same"))
 
 
+def jn5_range_equality_whole(s, d):
+    """The whole log against itself, itself without its last entry, and itself with another value in its last entry."""
+    own = _terms(_log(s, d))
+    last = F.broadcast(own.agg(F.max("log_index").alias("last")))
+    marked = own.crossJoin(last)
+    others = {
+        "equal": own,
+        "shorter": marked.filter("log_index < last"),
+        "changed": marked.withColumn("v", F.when(F.col("log_index") == F.col("last"), F.coalesce(F.col("v"), F.lit(0)) + 1).otherwise(F.col("v"))),
+    }
+    per = [log_ops.same_entries(own, other, ("term", "kind", "k", "v")).select(F.lit(pair).alias("pair"), "same") for pair, other in others.items()]
+    return per[0].unionByName(per[1]).unionByName(per[2])
+
+
 def se6_compaction(s, d):
     return log_ops.compacted(_terms(_log(s, d)), 600).select("log_index", "term", "kind")
 
@@ -141,6 +168,13 @@ def jn9_waiters(s, d):
     return log_ops.waited(waiting, log.withColumn("outcome", F.lit("APPLIED"))).select("log_index", "term", "outcome")
 
 
+def jn9_waiters_whole(s, d):
+    """A waiter at every index; those at odd ones wait for another term."""
+    log = _terms(_log(s, d))
+    waiting = log.select("log_index", (F.col("term") + F.col("log_index") % 2).alias("term"))
+    return log_ops.waited(waiting, log.withColumn("outcome", F.lit("APPLIED"))).select("log_index", "term", "outcome")
+
+
 def wn2_gap_detection(s, d):
     """Segments of 64 indexes; every 11th starts three late, every 13th two early."""
     log = _log(s, d)
@@ -154,6 +188,10 @@ def wn1_assigned_indexes(s, d):
     return log_ops.assigned(batch, 1000, 4, "event_id").select("event_id", "log_index", "term")
 
 
+def wn1_assigned_indexes_whole(s, d):
+    return log_ops.assigned(_events(s, d).select("event_id", "user_id"), 1000, 4, "event_id").select("event_id", "log_index", "term")
+
+
 def ag24_batches(s, d):
     rows = _events(s, d).select((F.col("user_id") % 8).alias("node_id"), F.col("event_id").alias("arrival"), (F.col("event_id") % 700 + 50).alias("bytes"))
     return state.batch_ids(rows, 16, 4096).groupBy("node_id", "batch").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
@@ -249,6 +287,18 @@ def se1_union_peers(s, d):
     return quorum.union_peers(old, new, 7).select("node_id", "addr")
 
 
+def _configurations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Old and new members of every change: 400 events each, the first half old members, all but the first quarter new ones."""
+    e = _events(s, d).select(F.floor(F.col("event_id") / 400).alias("change"), (F.col("event_id") % 400).alias("i"), F.col("user_id").alias("node_id"))
+    return e.filter("i < 200").select("change", "node_id").distinct(), e.filter("i >= 100").select("change", "node_id").distinct()
+
+
+def se1_union_peers_whole(s, d):
+    old, new = _configurations(s, d)
+    peers = quorum.union_peers(old.withColumn("addr", F.lit("a")), new.withColumn("addr", F.lit("b")), 7, by=("change",))
+    return peers.select("change", "node_id", "addr")
+
+
 def jn13_target_changes(s, d):
     e = _events(s, d)
     running = e.filter("event_id < 200").select(F.col("user_id").alias("node_id")).distinct()
@@ -256,6 +306,10 @@ def jn13_target_changes(s, d):
     return quorum.target_changes(running, wanted).select("node_id", "action")
 
 
+def jn13_target_changes_whole(s, d):
+    return quorum.target_changes(*_configurations(s, d), by=("change",)).select("change", "node_id", "action")
+
+
 def _observations(s: SparkSession, d: str) -> DataFrame:
     """Requests with labels, some of them unknown, and durations: the event's value in tens of microseconds."""
     e = _events(s, d)
@@ -341,10 +395,14 @@ def wn12_instant_max(s, d):
     return promql.instant(e, "max", ("event_type",)).select("ts", "event_type", "value")
 
 
-def _acks(s: SparkSession, d: str) -> DataFrame:
+def _puts(s: SparkSession, d: str) -> DataFrame:
+    """Every write, acknowledged."""
     log = _log(s, d).filter("op = 'PUT'")
-    own = log.select(F.concat_ws("-", "client_id", "k").alias("key"), F.col("v").cast("string").alias("value"), "log_index", F.when(F.col("log_index") <= BOUNDARY, "before").otherwise("after").alias("phase"))
-    return own.filter("log_index % 3 = 0")
+    return log.select(F.concat_ws("-", "client_id", "k").alias("key"), F.col("v").cast("string").alias("value"), "log_index", F.when(F.col("log_index") <= BOUNDARY, "before").otherwise("after").alias("phase"))
+
+
+def _acks(s: SparkSession, d: str) -> DataFrame:
+    return _puts(s, d).filter("log_index % 3 = 0")
 
 
 def _key_state(s: SparkSession, d: str) -> DataFrame:
@@ -356,14 +414,26 @@ def jn2_ack_verification(s, d):
     return evidence.verification(_acks(s, d), _key_state(s, d))
 
 
+def jn2_ack_verification_whole(s, d):
+    return evidence.verification(_puts(s, d), _key_state(s, d))
+
+
 def jn2_verified_writes(s, d):
     return evidence.verified(_acks(s, d), _key_state(s, d)).select("key", "value", "phase", "log_index", "verified")
 
 
+def jn2_verified_writes_whole(s, d):
+    return evidence.verified(_puts(s, d), _key_state(s, d)).select("key", "value", "phase", "log_index", "verified")
+
+
 def ag23_ack_phases(s, d):
     return evidence.ack_phases(_acks(s, d))
 
 
+def ag23_ack_phases_whole(s, d):
+    return evidence.ack_phases(_puts(s, d))
+
+
 def jn15_missing_events(s, d):
     wanted = s.createDataFrame([(x,) for x in ("click", "view", "logout", "refund")], "event_type string")
     return evidence.missing(wanted, _events(s, d), "event_type")
