@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass classifies blocks by length, link density and stop-word
 density, and by where they stand (menus, headers, footers, sidebars, notices, adverts, forms and comments are never
 main text); blocks too short to tell stay undecided. In the second pass an undecided block inherits the label of its
-nearest decided neighbours. Pages are independent of each other, so the plan is a scan and one Arrow map: no shuffle,
+nearest decided neighbours. Forms and parts named by class or id words may also be wrappers around the page; these are
+judged by what they hold (see `outside`). Pages are independent of each other, so the plan is a scan and one Arrow map: no shuffle,
 and a task holds one batch of pages.
 
 Defined results: null and empty pages give an empty text; tags that are never closed end with the page; repeated rows
@@ -41,7 +42,9 @@ _SAME = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr
 _BESIDE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion promotions sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager copyright legal disclaimer search form alert skip".split()
 )
-_MAIN_ROLES = frozenset(("main", "article"))
+#: How sure it is that a part is beside the main text. A class or id word alone ("no-sidebar", "ad-slot"), and a form, are
+#: WEAK; a name of such words only ("sidebar", "cookie-banner", "ad2") is STRONG; elements, roles and hidden parts are HARD.
+_NONE, _WEAK, _STRONG, _HARD = range(4)
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -53,45 +56,76 @@ class Rules:
     high_stop: float = 0.12
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a block stands: in a HARD part, in an article or main, in a main; how many WEAK and STRONG parts it is in, those outside its article or main being counted as `around`."""
+
+    hard: bool = False
+    main: bool = False
+    root: bool = False
+    around: int = 0
+    weak: int = 0
+    strong: int = 0
+
+
+_TOP = Place()
+
+
 @dataclass
 class Block:
     text: str
     link: int
-    off: bool
-    main: bool
     heading: bool
+    place: Place
+
 
+def _attrs(attrs: str) -> list[tuple[str, str]]:
+    return [(m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()) for m in _ATTR.finditer(attrs)]
 
-def _off(tag: str, attrs: str, inside_main: bool) -> bool:
-    if tag in _OFF:
-        return True
+
+def _off(tag: str, attrs: str, inside_main: bool) -> int:
+    if tag in _OFF and tag != "form":
+        return _HARD
     if tag == "header":
-        return not inside_main
+        return _NONE if inside_main else _HARD
+    sure = _WEAK if tag == "form" else _NONE
     if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
+        return sure
+    for name, value in _attrs(attrs):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+            return _HARD
         if name == "role" and value in _OFF_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w in _BESIDE for w in _PART.findall(value)):
-            return True
-    return False
+            return _HARD
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for token in value.split():
+                words = [w in _BESIDE for w in _PART.findall(token) if not w.isdigit()]
+                if any(words):
+                    sure = max(sure, _STRONG if all(words) else _WEAK)
+    return sure
+
+
+def _inside(was: Place, tag: str, attrs: str) -> Place:
+    root = tag == "main" or (bool(attrs) and ("role", "main") in _attrs(attrs))
+    sure = _off("main" if root else tag, attrs, was.main)
+    if not (sure or root or tag == "article"):
+        return was
+    hard, weak, strong, around = was.hard or sure == _HARD, was.weak, was.strong, was.around
+    if (root and not was.root) or (tag == "article" and not was.main):
+        around, weak, strong = around + weak + strong, 0, 0
+    return Place(hard, was.main or root or tag == "article", was.root or root, around, weak + (sure == _WEAK), strong + (sure == _STRONG))
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, off, main
+    stack: list[tuple[str, Place]] = []
     state = {"link": 0, "heading": False}
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            off, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), off, main, state["heading"]))
+            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), state["heading"], stack[-1][1] if stack else _TOP))
         parts.clear()
         links.clear()
 
@@ -137,9 +171,7 @@ def blocks(page: str) -> list[Block]:
                     same = _SAME.get(tag, ()) + (("p",) if tag in _CLOSES_P else ())
                     while stack and stack[-1][0] in same:
                         stack.pop()
-                was = stack[-1] if stack else ("", False, False)
-                main = was[2] or tag in ("article", "main") or "role=\"main\"" in attrs
-                stack.append((tag, was[1] or _off(tag, attrs, was[2]), main))
+                stack.append((tag, _inside(stack[-1][1] if stack else _TOP, tag, attrs)))
                 state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif not closing and attrs and tag not in _VOID and tag in ("span", "section", "ins") and _off(tag, attrs, True):
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -148,16 +180,45 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def outside(found: list[Block], rules: Rules) -> list[bool]:
+    """Whether each block is in a part beside the main text.
+
+    A main is part of the page whatever WEAK or STRONG parts are around it. An article is if no article has fewer around it
+    and, where there are some, it holds at least the words of the prose that is in no such part (else it is a teaser or a
+    comment). In what is left, WEAK parts that all prose is in are wrappers and not beside it.
+    """
+    words = [len(b.text.split()) for b in found]
+    prose = [n >= rules.min_words and b.link <= rules.max_link_density * len(b.text) for b, n in zip(found, words, strict=True)]
+    at = [b.place for b in found]
+    mains = [i for i, p in enumerate(at) if p.main and not p.hard]
+    rooted = any(at[i].root for i in mains)
+    least = min((at[i].around for i in mains), default=0)
+    if rooted:
+        inside = [p.root or (p.main and p.around == 0) for p in at]
+    else:
+        held = sum(words[i] for i in mains if at[i].around == least and prose[i] and not at[i].strong)
+        loose = sum(n for p, n, good in zip(at, words, prose, strict=True) if good and not (p.main or p.hard or p.weak or p.strong))
+        inside = [p.main and p.around == least and (least == 0 or held >= loose) for p in at]
+    off = [p.hard or p.strong > 0 or (p.main and not kept) for p, kept in zip(at, inside, strict=True)]
+    for main in (True, False):
+        own = [i for i, p in enumerate(at) if p.main == main and not off[i]]
+        level = min((at[i].weak for i in own if prose[i]), default=0)
+        for i in own:
+            off[i] = at[i].weak > level
+    return off
+
+
 def labelled(found: list[Block], rules: Rules) -> list[bool]:
     """Whether each block is main text."""
     first: list[bool | None] = []
-    has_main = any(b.main and not b.off for b in found)
-    for b in found:
+    off = outside(found, rules)
+    has_main = any(b.place.main and not x for b, x in zip(found, off, strict=True))
+    for b, beside in zip(found, off, strict=True):
         words = b.text.lower().split()
         density = b.link / max(1, len(b.text))
-        if b.off or density > max(rules.max_link_density, 0.5 if b.main else 0):
+        if beside or density > max(rules.max_link_density, 0.5 if b.place.main else 0):
             first.append(False)
-        elif b.main:
+        elif b.place.main:
             first.append(True if len(words) >= rules.min_words else None)
         elif has_main:
             first.append(False)
@@ -181,7 +242,7 @@ def labelled(found: list[Block], rules: Rules) -> list[bool]:
     for b, v, x, y in zip(found, first, before, after, strict=True):
         if v is not None:
             out.append(v)
-        elif b.main:  # in the article only a link list beside it says otherwise
+        elif b.place.main:  # in the article only a link list beside it says otherwise
             out.append(True)
         else:
             out.append(bool(y) if b.heading else bool(x) and bool(y) or (bool(x) if y is None else bool(y) if x is None else False))
