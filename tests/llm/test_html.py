@@ -41,3 +41,31 @@ def test_articles_that_are_comments_or_teasers_stay_off():
 
 def test_pages_of_off_parts_alone_stay_empty():
     assert main_text(f"<nav>{ASIDE}</nav><div class='ad'>{ASIDE}</div><div id='cookie-banner'>{ASIDE}</div>") == ""
+
+
+def test_short_blocks_inherit_from_the_nearer_neighbour():
+    ad = f"<div class='ad'>{ASIDE}</div>"
+    assert main_text(f"<nav>{ASIDE}</nav><p>First.</p>{PLAIN}<p>Last.</p><footer>{ASIDE}</footer>") == f"First.\n{TEXT}\n{MORE}\nLast."
+    assert main_text(f"<p>{TEXT}</p><p>Short.</p>{ad}<p>Too.</p><p>{MORE}</p>") == f"{TEXT}\nShort.\nToo.\n{MORE}"
+    links = "<div><a href=/>one of the links that are here on the page</a></div>"
+    assert main_text(f"{links}<p>Far.</p><p>Near.</p><p>At.</p><p>{TEXT}</p>") == f"Near.\nAt.\n{TEXT}"
+    assert main_text(f"{links}<p>Far.</p><p>Half.</p><p>Near.</p><p>At.</p><p>{TEXT}</p><h2>Links</h2>{links}") == f"Near.\nAt.\n{TEXT}"
+
+
+def test_short_blocks_alone():
+    assert main_text(f"<nav>{ASIDE}</nav><h1>Head</h1><p>One.</p><p>Two.</p>") == "Head\nOne.\nTwo."
+
+
+def test_languages_without_known_stop_words():
+    polish = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, żeby wspólnie obejrzeć pokaz sztucznych ogni."
+    chinese = "昨天晚上，市民们聚集在市政厅前，一起观看了盛大的烟花表演。" * 4
+    for text in (polish, chinese):
+        assert main_text(f"<nav>{ASIDE}</nav><p>{text}</p><p>{text}</p><div><a href=/>menu</a></div><footer>{ASIDE}</footer>") == f"{text}\n{text}"
+    assert main_text(f"<p>{TEXT}</p><p>{polish}</p><p>{MORE}</p>") == f"{TEXT}\n{polish}\n{MORE}"
+
+
+def test_links_in_an_article():
+    cited = "<a href=x>Smith and Jones (2020), The history of the town and its hall</a>"
+    menu = "<ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul>"
+    own = "Smith and Jones (2020), The history of the town and its hall"
+    assert main_text(f"<article><p>{TEXT}</p>{menu}<ul><li>{cited}</ul><ol><li><a href=x>Smith</a></ol><p><a href=x>The report.</a></p></article>") == f"{TEXT}\n{own}\nSmith\nThe report."

@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies blocks by length, link density and stop-word
 density, and by where they stand (menus, headers, footers, sidebars, notices, adverts, forms and comments are never
-main text); blocks too short to tell stay undecided. In the second pass an undecided block inherits the label of its
-nearest decided neighbours. Forms and parts named by class or id words may also be wrappers around the page; these are
+main text); blocks too short to tell, and long ones in a language without known stop words, stay undecided. In the second
+pass an undecided block inherits the label of its nearest decided neighbour. Forms and parts named by class or id words may also be wrappers around the page; these are
 judged by what they hold (see `outside`). Pages are independent of each other, so the plan is a scan and one Arrow map: no shuffle,
 and a task holds one batch of pages.
 
@@ -54,6 +54,7 @@ class Rules:
     max_link_density: float = 0.4
     low_stop: float = 0.02
     high_stop: float = 0.12
+    long_chars: int = 80
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,8 @@ class Block:
     link: int
     heading: bool
     place: Place
+    #: Number of the list without order that the block is directly in; 0 if in none.
+    items: int = 0
 
 
 def _attrs(attrs: str) -> list[tuple[str, str]]:
@@ -120,17 +123,20 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, Place]] = []
-    state = {"link": 0, "heading": False}
+    state = {"link": 0, "heading": False, "lists": 0}
+    lists: list[tuple[int, int]] = []  # depth of the stack, number; 0 for a list with order
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), state["heading"], stack[-1][1] if stack else _TOP))
+            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), state["heading"], stack[-1][1] if stack else _TOP, lists[-1][1] if lists else 0))
         parts.clear()
         links.clear()
 
     def pop(k: int) -> None:
         del stack[k:]
+        while lists and lists[-1][0] > k:
+            lists.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -172,6 +178,9 @@ def blocks(page: str) -> list[Block]:
                     while stack and stack[-1][0] in same:
                         stack.pop()
                 stack.append((tag, _inside(stack[-1][1] if stack else _TOP, tag, attrs)))
+                if tag in ("ul", "ol"):
+                    state["lists"] += 1
+                    lists.append((len(stack), state["lists"] if tag == "ul" else 0))
                 state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif not closing and attrs and tag not in _VOID and tag in ("span", "section", "ins") and _off(tag, attrs, True):
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -208,44 +217,57 @@ def outside(found: list[Block], rules: Rules) -> list[bool]:
     return off
 
 
+def _menus(found: list[Block], rules: Rules) -> set[int]:
+    """Lists without order whose items are all links of a few words."""
+    lists = {b.items for b in found if b.items}
+    return lists - {b.items for b in found if b.link <= 0.9 * len(b.text) or len(b.text.split()) >= rules.min_words}
+
+
+def _ahead(first: list[bool | None], off: list[bool]) -> list[tuple[int, bool] | None]:
+    """For each block the nearest decided one before it: distance and label. Blocks that are off are no neighbours."""
+    out: list[tuple[int, bool] | None] = []
+    last: tuple[int, bool] | None = None
+    for v, beside in zip(first, off, strict=True):
+        last = (last[0] + 1, last[1]) if last and not beside else last
+        out.append(last)
+        if v is not None and not beside:
+            last = (0, v)
+    return out
+
+
 def labelled(found: list[Block], rules: Rules) -> list[bool]:
     """Whether each block is main text."""
     first: list[bool | None] = []
-    off = outside(found, rules)
+    off, menus = outside(found, rules), _menus(found, rules)
     has_main = any(b.place.main and not x for b, x in zip(found, off, strict=True))
     for b, beside in zip(found, off, strict=True):
         words = b.text.lower().split()
-        density = b.link / max(1, len(b.text))
-        if beside or density > max(rules.max_link_density, 0.5 if b.place.main else 0):
+        if beside or (has_main and not b.place.main):
             first.append(False)
-        elif b.place.main:
-            first.append(True if len(words) >= rules.min_words else None)
-        elif has_main:
+        elif b.place.main:  # in the article only a menu in it says otherwise
+            first.append(b.items not in menus)
+        elif b.link > rules.max_link_density * len(b.text):
             first.append(False)
         elif len(words) < rules.min_words:
             first.append(None)
         else:
             stop = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
-            first.append(True if stop >= rules.high_stop else None if stop >= rules.low_stop else False)
-    before: list[bool | None] = []
-    last = None
-    for v in first:
-        last = v if v is not None else last
-        before.append(last)
-    after: list[bool | None] = []
-    last = None
-    for v in reversed(first):
-        last = v if v is not None else last
-        after.append(last)
-    after.reverse()
+            # Long text with few stop words may be in a language that isn't listed.
+            foreign = not b.link and len(b.text) >= rules.long_chars
+            first.append(True if stop >= rules.high_stop else None if stop >= rules.low_stop or foreign else False)
+    # Without any decided text there is nothing to inherit: long blocks without links count as text, or else all undecided ones.
+    for least in (rules.long_chars, 0):
+        if not any(first):
+            first = [True if v is None and len(b.text) >= least and (least == 0 or not b.link) else v for b, v in zip(found, first, strict=True)]
+    before, after = _ahead(first, off), _ahead(first[::-1], off[::-1])[::-1]
     out = []
     for b, v, x, y in zip(found, first, before, after, strict=True):
         if v is not None:
             out.append(v)
-        elif b.place.main:  # in the article only a link list beside it says otherwise
-            out.append(True)
+        elif b.heading or x is None or y is None:  # a heading belongs to what follows it
+            out.append(y is not None and y[1] if b.heading or x is None else x[1])
         else:
-            out.append(bool(y) if b.heading else bool(x) and bool(y) or (bool(x) if y is None else bool(y) if x is None else False))
+            out.append(x[1] if x[0] < y[0] else y[1] if y[0] < x[0] else x[1] or y[1])
     return out
 
 
