@@ -5,6 +5,9 @@ rarest term, rarity being counted over all documents; a posting at position p of
 that the window starts at p - o, and the lists of its other terms, shifted by their offsets, must agree there: that is
 the condition of the same join, so only exact phrases leave it. Only postings of rarest terms are materialised.
 
+Proximity matches need `least` of a window's distinct terms near one place. A place with so many has one of the window's
+(terms - least + 1) rarest, so postings of these propose all places; terms that no document has count among the rarest.
+
 Scale: one aggregation of benchmark terms (partial sums first), one pass over the postings, and one shuffle of a row for
 each document and match. The window table is broadcast when it has at most BROADCAST_WINDOWS rows; a larger one is
 joined by shuffling the postings with their neighbourhood.
@@ -41,16 +44,32 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def anchored(table: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Windows with their rarest term and its offset; windows with a term that no document has are gone."""
+def _counted(table: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(term, n): how often each term of the windows is in the documents; terms that no document has are missing."""
     terms = table.select(F.explode("window").alias("term")).distinct()
     terms = F.broadcast(terms) if small(terms, BROADCAST_WINDOWS) else terms
-    counts = docs.select(F.explode(plain_words(F.col(text))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
-    placed = table.select("window", "items", F.posexplode("window").alias("offset", "term")).join(counts, "term", "left")
+    return docs.select(F.explode(plain_words(F.col(text))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def anchored(table: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Windows with their rarest term and its offset; windows with a term that no document has are gone."""
+    placed = table.select("window", "items", F.posexplode("window").alias("offset", "term")).join(_counted(table, docs, text), "term", "left")
     best = placed.groupBy("window").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("best"))
     return best.filter("best.n > 0").select("window", "items", F.col("best.term").alias("term"), F.col("best.offset").alias("offset"))
 
 
+def proposing(table: DataFrame, docs: DataFrame, least: int, text: str = "text") -> DataFrame:
+    """(anchor, words, windows: array of struct(window, items)): windows by rarest terms, one of which is wherever `least` of a window's distinct terms are.
+
+    Windows of one item that share a term are one row, so that a posting that has few of all their `words` around it is done with.
+    """
+    placed = table.select("window", "items", F.explode(F.array_distinct("window")).alias("term")).join(_counted(table, docs, text), "term", "left")
+    ranked = placed.groupBy("window").agg(F.first("items").alias("items"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("t"))
+    rarest = ranked.select("window", "items", F.explode(F.slice("t", F.lit(1), F.greatest(F.size("t") - least + 1, F.lit(0)))).alias("x"))
+    grouped = rarest.filter("x.n > 0").groupBy(F.col("x.term").alias("anchor"), F.col("items")[0]).agg(F.collect_list(F.struct("window", "items")).alias("windows"))
+    return grouped.select("anchor", F.array_distinct(F.flatten("windows.window")).alias("words"), "windows")
+
+
 def _postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """All postings, and one of the empty term for each document, which carries the document itself."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.concat(F.array(F.lit("")), plain_words(F.col(text))).alias("w"))
@@ -80,14 +99,47 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     return met.select("row", "id", n_words.cast("bigint").alias("n_words"), begin.alias("start"), F.when(own, 0).otherwise(F.size("window")).alias("length"), "items")
 
 
-def proximity(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = 5, least: int = 8) -> DataFrame:
-    """(id, items, start, terms) where at least `least` distinct terms of a window lie within `slop` words around its place."""
-    table = anchored(cut(windows(items, text="text", width=width)), docs, text)
+def _near(docs: DataFrame, items: DataFrame, id_col: str, text: str, width: int, slop: int, least: int) -> DataFrame:
+    """(row, id, items, start, terms) for every document and window with at least `least` distinct terms near one place."""
+    table = cut(proposing(cut(windows(items, text="text", width=width)), docs, least, text))
+    # Around a posting lie all words of the places that it can belong to, each with `slop` words on either side.
+    low = F.greatest(F.col("p") - (width - 1) - 2 * slop, F.lit(1))
+    near = F.slice("w", low + 1, F.col("p") - low + width + 2 * slop)
+    common = lambda words, of: F.size(F.array_intersect(words, of))
     posts = _postings(docs, id_col, text)
-    met = posts.join(table.withColumnRenamed("term", "anchor"), F.col("term") == F.col("anchor"))
-    low = F.greatest(F.col("p") - F.col("offset") - slop, F.lit(1))
-    terms = F.size(F.array_intersect(F.slice("w", low + 1, F.size("window") + 2 * slop), F.col("window")))
-    return met.select("id", "items", (F.col("p") - F.col("offset")).alias("start"), terms.alias("terms")).filter(F.col("terms") >= least).distinct()
+    if small(table, BROADCAST_WINDOWS):
+        fits = common(near, F.col("words")) >= least
+        met = posts.join(F.broadcast(table), (F.col("term") == F.col("anchor")) & fits).select("row", "id", "p", "windows", low.alias("low"), near.alias("near"))
+    else:
+        posts = posts.select("row", "id", "p", "term", low.alias("low"), near.alias("near"))
+        met = posts.join(table, (F.col("term") == F.col("anchor")) & (common(F.col("near"), F.col("words")) >= least)).select("row", "id", "p", "windows", "low", "near")
+    met = met.select("row", "id", "p", "low", "near", F.explode("windows").alias("x")).select("row", "id", "p", "low", "near", "x.window", "x.items")
+    met = met.filter(common(F.col("near"), F.col("window")) >= least)
+    size = F.size("window")
+
+    def place(s: Column) -> Column:
+        first = F.greatest(s - slop, F.col("low"))
+        return F.struct(common(F.slice("near", first - F.col("low") + 1, s + size + slop - first), F.col("window")).alias("terms"), (-s).alias("back"))
+
+    best = F.array_max(F.transform(F.sequence(F.col("p") - size + 1 - slop, F.col("p") + slop), place))
+    found = met.select("row", "id", "window", "items", best.alias("best")).filter(F.col("best.terms") >= least)
+    per = found.groupBy("row", "window").agg(F.first("id").alias("id"), F.first("items").alias("items"), F.max("best").alias("best"))
+    return per.select("row", "id", "items", (-F.col("best.back")).alias("start"), F.col("best.terms").alias("terms"))
+
+
+def proximity(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = 5, least: int = 8) -> DataFrame:
+    """(id, items, start, terms): for every document and window the place at which most of the window's distinct terms, `least` or more, lie within `slop` words.
+
+    Of equal places it is the first; one before a document's first word is 0 or less. Windows of fewer distinct terms have none.
+    """
+    return _near(docs, items, id_col, text, width, slop, least).select("id", "items", "start", "terms")
+
+
+def near_report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_windows, most_terms, n_items, items_sha256) for the documents with proximity matches; `report` has the exact ones."""
+    met = _near(docs.select("doc_id", "text"), items.select("item_id", "text"), "doc_id", "text", WINDOW, 5, 8)
+    per = met.groupBy("row").agg(F.first("id").alias("doc_id"), F.count("*").alias("n_windows"), F.max("terms").cast("bigint").alias("most_terms"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"))
+    return per.select("doc_id", "n_windows", "most_terms", F.size("found").cast("bigint").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
