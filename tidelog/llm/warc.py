@@ -103,6 +103,21 @@ def records(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
         at = end + 4
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of all members of a gzip file; zeros may follow them, anything else raises."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as e:
+            raise ValueError(f"no gzip member where one should begin: {e}") from e
+        if not member.eof:
+            raise ValueError("the last gzip member is cut short")
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def _number(found: bytes | None) -> int | None:
     m = _ID.search(found or b"")
     return int(m.group(1)) if m and m.group(1) != b"none" else None
@@ -114,7 +129,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, content in zip(b.column("path"), b.column("content"), strict=True):
             file, data = name.as_py().rpartition("/")[2], content.as_py()
-            data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+            data = unzipped(data) if data[:2] == b"\x1f\x8b" else data
             rows = []
             for at, h, payload in records(data):
                 kind, said = h[b"warc-type"].decode(), h[b"warc-payload-digest"].decode().removeprefix("sha256:")
