@@ -159,7 +159,7 @@ def _confirm(percent: int, width: int):
 
 
 def labels(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
-    """(id, node, n_shingles, component): a row for each row of `docs`; component: the smallest id that can be reached."""
+    """(id, node, n_shingles, component, first): a row for each row of `docs`; component: the smallest id that can be reached; first: the node that has it."""
     spark = docs.sparkSession
     shared_dir(spark)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).alias("text"))
@@ -184,11 +184,12 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     confirmed = cut(blocks.groupBy("label", "low", "high").applyInPandas(_confirm(percent, width), "src bigint, dst bigint"))
     groups = components(confirmed)
     nodes = sketched.groupBy("node").agg(F.min("id").alias("low_id")).join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    low = nodes.groupBy("label").agg(F.min("low_id").alias("component"))
-    named = nodes.join(low, "label").select("node", "component")
+    low = nodes.groupBy("label").agg(F.min(F.struct(F.col("low_id").isNull(), "low_id", "node")).alias("low"))
+    named = nodes.join(low, "label").select("node", F.col("low.low_id").alias("component"), F.col("low.node").alias("first"))
     # Texts without shingles are linked with nothing, not even with their copies.
     full = sketched.select("id", "node", "n_shingles").join(named, "node", "left")
-    return full.select("id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    own = lambda c, alone: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col(alone)).alias(c)
+    return full.select("id", "node", "n_shingles", own("component", "id"), own("first", "node"))
 
 
 def report(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -198,8 +199,16 @@ def report(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of `docs` (with doc_id and text) of which no linked row has a smaller id; of repeated rows one stays."""
-    found = labels(docs, percent=percent).filter(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(F.col("id").alias("__gone"), F.col("node").alias("__node")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__n"))
-    kept = rows.join(found, (F.col("__row.doc_id") == F.col("__gone")) & (F.col("__n") == F.col("__node")), "left_anti")
-    return kept.select("__row.*")
+    """One row of `docs` (with doc_id and text) for each group of linked rows: one with the smallest id, null ids last.
+
+    Texts without shingles are linked with nothing, but of rows with equal id and text one stays.
+    """
+    found = cut(labels(docs, percent=percent).groupBy("id", "node", "component", "first").agg(F.count("*").alias("n")).select(F.col("id").alias("__id"), F.col("node").alias("__node"), (F.col("id").eqNullSafe(F.col("component")) & (F.col("node") == F.col("first"))).alias("kept"), "n"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("bigint").alias("__i"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__n"))
+    same = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__node"))
+    repeated = found.filter("kept and n > 1")
+    if not repeated.limit(1).count():
+        return rows.join(found.filter("not kept"), same, "left_anti").select("__row.*")
+    once = rows.join(found.filter("not kept or n > 1"), same, "left_anti").select("__row")
+    more = rows.join(repeated, same, "left_semi").groupBy("__i", "__n").agg(F.first("__row").alias("__row")).select("__row")
+    return once.unionByName(more).select("__row.*")
