@@ -63,12 +63,8 @@ def _inverse(share: Column, tilt: Column) -> Column:
     return F.when((tilt == 0) | (share <= 0), share).otherwise(F.least((2 * share) / F.nullif(b + root, F.lit(0.0)), F.lit(1.0)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
-    """(id, source, size, source_size, target, taken, position) for every row, ordered by position.
-
-    `taken` counts a document's words in the mix, repeats included; the first copy has the position. Documents that
-    aren't taken have none.
-    """
+def _placed(docs: DataFrame, id_col: str, text: str, source: str, most: int) -> DataFrame:
+    """(id, source, size, source_size, target, tilt, start, turns, left): a document's first word in its source, its whole passes, and the words that the last, cut pass of its source has."""
     measured = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), sizes(docs, text).alias("size")))
     dealt = measured.withColumn("h", F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256)).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = cut(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -81,14 +77,33 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     start = F.col("offset") + F.col("ahead")
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(0)
     left = F.floor(F.col("target") - turns * F.col("source_size") + 0.5)
+    return rows.select("id", "source", "size", "source_size", "target", "tilt", start.alias("start"), turns.alias("turns"), left.alias("left"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
+    """(id, source, size, source_size, target, taken, position) for every row, ordered by position.
+
+    `taken` counts a document's words in the mix, repeats included; the first copy has the position, `passes` has those of
+    all. Documents that aren't taken have none.
+    """
+    rows = _placed(docs, id_col, text, source, most)
     # The document at which the target is reached is cut there, so a source's words meet its target to a word.
-    taken = turns * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - start))
-    share = F.least(start / F.nullif("target", F.lit(0.0)), F.lit(1.0))
+    taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
+    share = F.least(F.col("start") / F.nullif("target", F.lit(0.0)), F.lit(1.0))
     out = rows.select("id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), share.alias("share"), "tilt")
     out = out.select("id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _inverse(F.col("share"), F.col("tilt"))).alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "id")
 
 
+def passes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_REPEATS) -> DataFrame:
+    """(id, source, pass, taken, position) for every time that a document is taken, ordered by position: pass n begins n times the source's size later."""
+    rows = _placed(docs, id_col, text, source, most).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns").cast("bigint"))))
+    words = F.when(F.col("pass") < F.col("turns"), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start"))))
+    share = F.least((F.col("start") + F.col("pass") * F.col("source_size")) / F.nullif("target", F.lit(0.0)), F.lit(1.0))
+    out = rows.select("id", "source", "pass", words.cast("bigint").alias("taken"), _inverse(share, F.col("tilt")).alias("position"))
+    return out.filter("taken > 0").orderBy("position", "id", "pass")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns for a table with doc_id, text and source; `position` follows."""
     out = mixed(docs.select("doc_id", "text", "source"))

@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op6_licenses": lambda s, d: licenses.report(docs(s, d)),
         "op7_warc": lambda s, d: warc.report(pages(s, d)),
         "op8_mixing": lambda s, d: mixing.report(docs(s, d)),
+        "op8_passes": lambda s, d: mixing.passes(docs(s, d)),
         "op9_line_dedup": lambda s, d: line_dedup.report(docs(s, d)),
         "op10_decontaminate": lambda s, d: decontaminate.report(docs(s, d), table(s, d, "benchmark")),
         "op10_proximity": lambda s, d: decontaminate.near_report(docs(s, d), table(s, d, "benchmark")),
