@@ -1,7 +1,9 @@
 """State, dedup and log operators against small scenarios and random logs."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,9 +35,8 @@ SCENARIOS = {
 def test_scenarios(spark, name):
     rows, outcomes, final = SCENARIOS[name]
     d = log(spark, rows)
-    for hot in (None, 0):  # the array fold and the sorted stream
-        assert [r["outcome"] for r in state.classify(d, hot_rows=hot).orderBy("log_index").collect()] == outcomes
-    assert {r["k"]: r["v"] for r in state.identified_state(d, hot_rows=None).collect()} == final
+    assert [r["outcome"] for r in state.classify(d).orderBy("log_index").collect()] == outcomes
+    assert {r["k"]: r["v"] for r in state.identified_state(d).collect()} == final
 
 
 def test_random_logs(spark):
@@ -52,8 +53,7 @@ def test_random_logs(spark):
             kv[k] = v
     d = log(spark, rows)
     assert set(want) == {"NEW", "DUPLICATE", "CONFLICT", "STALE"}
-    for hot in (None, 0):
-        assert [x["outcome"] for x in state.classify(d, hot_rows=hot).orderBy("log_index").collect()] == want
+    assert [x["outcome"] for x in state.classify(d).orderBy("log_index").collect()] == want
     assert {x["k"]: x["v"] for x in state.identified_state(d).collect()} == {k: v for k, v in kv.items() if v is not None}
     assert {x["client_id"]: x["last_seq"] for x in state.client_records(d).collect()} == {c: s for c, (s, _) in last.items()}
 
@@ -115,3 +115,35 @@ def test_boundaries(spark):
 def test_gaps(spark):
     s = spark.createDataFrame([(1, 4), (5, 2), (8, 3), (10, 1)], "start_index bigint, entries bigint")
     assert sorted(r[0] for r in log_ops.gaps(s).collect()) == [8, 10]
+
+
+def test_one_client_with_very_many_rows(spark):
+    n = 400_000
+    d = spark.range(1, n + 1).select(F.col("id").alias("log_index"), F.lit(7).cast("bigint").alias("client_id"), F.when(F.col("id") % 1000 == 0, F.col("id") - 1).otherwise(F.col("id") - F.floor(F.col("id") / 1000)).alias("seq"), F.lit("k").alias("k"), F.lit("PUT").alias("op"), F.col("id").alias("v"), F.lit("f").alias("fp"))
+    began = time.time()
+    got = {r[0]: r[1] for r in state.classify(d).groupBy("outcome").count().collect()}
+    assert time.time() - began < 30
+    assert got["NEW"] > 0 and sum(got.values()) == n
+
+
+def test_zero_client_bytes_are_unidentified(spark):
+    rows = [(1, b"\0" * 16, 5, "a"), (2, b"\1" * 16, 1, "b"), (3, b"\0" * 16, 5, "a"), (4, None, None, "c")]
+    d = spark.createDataFrame(rows, "log_index bigint, client_id binary, seq bigint, fp string")
+    assert [r["outcome"] for r in state.classify(d).orderBy("log_index").collect()] == ["NEW"] * 4
+
+
+def test_batches_close_by_entries_and_bytes():
+    r = random.Random(5)
+    for _ in range(200):
+        sizes = [r.choice((1, 3, 5, 20, 60)) for _ in range(r.randrange(1, 40))]
+        most, limit = r.randrange(1, 6), r.randrange(5, 50)
+        want, batch, n, total = [], 0, 0, 0
+        for x in sizes:
+            if n and (n >= most or total + x > limit):
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + x
+            want.append(batch)
+        cut, out = r.randrange(len(sizes) + 1), np.zeros(len(sizes), np.int64)
+        was = state.close_batches(np.array(sizes[:cut], np.int64), out[:cut], (0, 0, 0), most, limit)
+        state.close_batches(np.array(sizes[cut:], np.int64), out[cut:], was, most, limit)
+        assert out.tolist() == want

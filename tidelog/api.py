@@ -41,7 +41,7 @@ class Store:
         index = self.last_index() + 1
         row = self.spark.createDataFrame([(index, client, seq, key, op, value)], COMMANDS)
         sinks.append(row.coalesce(1), f"{self.root}/log")
-        outcome = state.classify(self.log(), hot_rows=None).filter(F.col("log_index") == index).first()["outcome"]
+        outcome = state.classify(self.log()).filter(F.col("log_index") == index).first()["outcome"]
         if client is not None and outcome == NEW:  # the number advances on success alone
             self._sequences[client] = seq
         return outcome

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import CONFLICT, DUPLICATE, NEW, STALE
 
-#: A client with more rows than this is folded as a sorted stream instead of an array.
-HOT_ROWS = 500_000
-
 
 def last_writes(log: DataFrame, key: str = "k", value: str = "v", index: str = "log_index") -> DataFrame:
     """The last command for each key: one partial aggregation, so a hot key is reduced before the shuffle."""
@@ -64,70 +62,57 @@ def outcome(seq: Column, fp: Column, last_seq: Column, last_fp: Column) -> Colum
     return F.when(seq == last, F.when(fp == last_fp, DUPLICATE).otherwise(CONFLICT)).when(seq == last + 1, NEW).otherwise(STALE)
 
 
-def _folded(log: DataFrame, index: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(F.col(index).cast("bigint").alias("i"), F.col("seq").cast("bigint").alias("s"), F.col("fp").alias("f"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("string").alias("f"), F.array().cast("array<struct<i:bigint,o:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = outcome(x["s"], x["f"], a["s"], a["f"])
-        return F.struct(F.when(now == NEW, x["s"]).otherwise(a["s"]).alias("s"), F.when(now == NEW, x["f"]).otherwise(a["f"]).alias("f"), F.array_append(a["out"], F.struct(x["i"].alias("i"), now.alias("o"))).alias("out"))
-
-    folded = log.groupBy("client_id").agg(rows.alias("r")).select("client_id", F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select("client_id", F.col("x.i").alias("__i"), F.col("x.o").alias("outcome"))
+def _fold(clients: list, seqs: list, prints: list, last: tuple) -> tuple[list[str], tuple]:
+    """Outcomes of rows in order, from the record (client, last sequence, fingerprint) before them to the one after them."""
+    client, seq, print_ = last
+    out = []
+    for c, s, f in zip(clients, seqs, prints, strict=True):
+        if c != client:
+            client, seq, print_ = c, 0, None
+        if s == seq:
+            out.append(DUPLICATE if f == print_ else CONFLICT)
+        elif s == seq + 1:
+            seq, print_ = s, f
+            out.append(NEW)
+        else:
+            out.append(STALE)
+    return out, (client, seq, print_)
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    client, last, print_ = None, 0, None
+    last = (None, 0, None)
     for b in batches:
-        out = []
-        for c, s, f in zip(b.column("client_id").to_pylist(), b.column("seq").to_pylist(), b.column("fp").to_pylist(), strict=True):
-            if c != client:
-                client, last, print_ = c, 0, None
-            if s == last:
-                out.append(DUPLICATE if f == print_ else CONFLICT)
-            elif s == last + 1:
-                last, print_ = s, f
-                out.append(NEW)
-            else:
-                out.append(STALE)
+        out, last = _fold(*(b.column(c).to_pylist() for c in ("client_id", "seq", "fp")), last)
         yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "outcome"])
 
 
-def classify_sorted(log: DataFrame, index: str = "log_index") -> DataFrame:
-    """`classify` as a stream over clients' sorted rows: constant memory for any client, at the price of a sort."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", outcome string"
-    return log.repartition("client_id").sortWithinPartitions("client_id", index).mapInArrow(_streamed, schema)
+def identified(client: Column) -> Column:
+    """Whether a client id, as bytes or a number, names a client: null and the all-zero bytes don't."""
+    return client.isNotNull() & ~F.coalesce(client.cast("binary").eqNullSafe(F.lit(b"\0" * 16)), F.lit(False))
 
 
-def classify(log: DataFrame, index: str = "log_index", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def classify(log: DataFrame, index: str = "log_index") -> DataFrame:
     """Add `outcome` to every row of an identified log.
 
-    Rows with a null client are unidentified and always NEW. Whether a sequence number is accepted depends on where its
-    predecessor was, so a client's rows are folded in order: by a built-in aggregate over its array, or, for clients of
-    more than `hot_rows` rows, as a sorted stream. The list of such clients has at most (rows / hot_rows) entries.
+    Rows of an unidentified client (see `identified`) are always NEW and aren't shuffled. Whether a sequence number is
+    accepted depends on where its predecessor was, so a client's rows are folded in order, as a stream over its sorted
+    rows: linear, with one record in memory however many rows a client has. Columns pass through as Arrow buffers.
     """
-    anonymous = log.filter("client_id is null").withColumn("outcome", F.lit(NEW))
-    named = log.filter("client_id is not null")
-    hot = [] if hot_rows is None else [r[0] for r in named.groupBy("client_id").count().filter(F.col("count") > hot_rows).select("client_id").collect()]
-    usual = named.filter(~F.col("client_id").isin(hot)) if hot else named
-    # `outcome` goes back to the whole rows within the client's partition: values never enter the arrays.
-    out = _attach(usual, index).unionByName(anonymous)
-    return out.unionByName(classify_sorted(named.filter(F.col("client_id").isin(hot)), index)) if hot else out
-
-
-def _attach(log: DataFrame, index: str) -> DataFrame:
-    done = _folded(log, index)
-    return log.join(done.withColumnRenamed("client_id", "__c"), (F.col("client_id") == F.col("__c")) & (F.col(index) == F.col("__i"))).drop("__c", "__i")
+    known = identified(F.col("client_id")) if dict(log.dtypes)["client_id"] == "binary" else F.col("client_id").isNotNull()
+    anonymous = log.filter(~known).withColumn("outcome", F.lit(NEW))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", outcome string"
+    named = log.filter(known).repartition("client_id").sortWithinPartitions("client_id", index)
+    return named.mapInArrow(_streamed, schema).unionByName(anonymous)
 
 
-def identified_state(log: DataFrame, key: str = "k", value: str = "v", index: str = "log_index", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def identified_state(log: DataFrame, key: str = "k", value: str = "v", index: str = "log_index") -> DataFrame:
     """The state that only NEW commands make: a shuffle by client, then one by key."""
-    return live(classify(log, index, hot_rows).filter(F.col("outcome") == NEW), key, value, index)
+    return live(classify(log, index).filter(F.col("outcome") == NEW), key, value, index)
 
 
-def client_records(log: DataFrame, index: str = "log_index", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def client_records(log: DataFrame, index: str = "log_index") -> DataFrame:
     """(client_id, last_seq, last_fingerprint, last_result) after the log: the last NEW request of each client."""
-    new = classify(log.filter("client_id is not null"), index, hot_rows).filter(F.col("outcome") == NEW)
+    new = classify(log.filter("client_id is not null"), index).filter(F.col("outcome") == NEW)
     return new.groupBy("client_id").agg(F.max("seq").alias("last_seq"), F.max_by("fp", "seq").alias("last_fingerprint")).withColumn("last_result", F.lit(1).cast("tinyint"))
 
 
@@ -173,39 +158,50 @@ def ordered_snapshot(state: DataFrame, key: str = "k") -> DataFrame:
     return state.orderBy(key)
 
 
+def close_batches(sizes: np.ndarray, out: np.ndarray, was: tuple[int, int, int], most_entries: int, most_bytes: int) -> tuple[int, int, int]:
+    """Write the batch number of each proposal to `out`, from (batch, entries, bytes) of the open batch to those after them.
+
+    The end of a batch is found in the running totals, so the work is a step for each batch, not for each proposal.
+    """
+    batch, entries, total = was
+    to, at = np.concatenate(([0], np.cumsum(sizes))), 0
+    while at < len(sizes):
+        fits = int(np.searchsorted(to, to[at] + most_bytes - total, side="right")) - 1
+        end = min(fits, at + most_entries - entries, len(sizes))
+        if end <= at and entries:
+            batch, entries, total = batch + 1, 0, 0
+            continue
+        end = max(end, at + 1)  # one over the limit goes alone
+        out[at:end] = batch
+        entries, total, at = entries + end - at, total + int(to[end] - to[at]), end
+    return batch, entries, total
+
+
 def batch_ids(proposals: DataFrame, most_entries: int = 256, most_bytes: int = 4 << 20, order: str = "arrival", size: str = "bytes", group: str = "node_id") -> DataFrame:
     """Add `batch`, numbered from 0 in each group: a batch closes at most_entries or before most_bytes would be passed.
 
-    A proposal over the byte limit is a batch of its own. Batches depend on all earlier ones, so a group's rows are
-    folded in order as a sorted stream.
+    A proposal over the byte limit is a batch of its own. Batches depend on all earlier ones, so a group's rows (a node's
+    own queue) are folded in order as a sorted stream.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proposals.schema) + ", batch bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, batch, entries, total = object(), 0, 0, 0
+        now, open_batch = object(), (0, 0, 0)
         for b in batches:
-            out = []
-            for g, n in zip(b.column(group).to_pylist(), b.column(size).to_pylist(), strict=True):
-                if g != now:
-                    now, batch, entries, total = g, 0, 0, 0
-                if entries and (entries >= most_entries or total + n > most_bytes):
-                    batch, entries, total = batch + 1, 0, 0
-                entries, total = entries + 1, total + n
-                out.append(batch)
-            yield pa.record_batch([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch"])
+            groups, sizes = b.column(group).to_pylist(), b.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]]
+            out = np.zeros(len(groups), np.int64)
+            for at, end in zip(starts, [*starts[1:], len(groups)], strict=True):
+                open_batch = open_batch if groups[at] == now else (0, 0, 0)
+                now = groups[at]
+                open_batch = close_batches(sizes[at:end], out[at:end], open_batch, most_entries, most_bytes)
+            yield pa.record_batch([*b.columns, pa.array(out)], names=[*b.schema.names, "batch"])
 
     return proposals.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
 
 
 def classify_group(rows: pd.DataFrame, last_seq: int = 0, last_fp: str | None = None) -> tuple[list[str], int, str | None]:
     """The fold over one client's rows (in order), with the client's record before and after."""
-    out = []
-    for s, f in zip(rows["seq"], rows["fp"], strict=True):
-        if s == last_seq:
-            out.append(DUPLICATE if f == last_fp else CONFLICT)
-        elif s == last_seq + 1:
-            last_seq, last_fp = int(s), f
-            out.append(NEW)
-        else:
-            out.append(STALE)
-    return out, last_seq, last_fp
+    one = [0] * len(rows)
+    out, (_, seq, print_) = _fold(one, rows["seq"].tolist(), rows["fp"].tolist(), (0, last_seq, last_fp))
+    return out, int(seq), print_
