@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import OPERATIONS, STATUS, STATUSES
+from ..schemas import DOMAINS, OPERATIONS, RPCS, STATUS, STATUSES
 
 
 def _case(code: Column, names: dict[int, str], other: str | None = None) -> Column:
@@ -87,3 +87,78 @@ def message(status: Column, key: Column) -> Column:
         .when(status == "BAD_REQUEST", "the request is malformed")
         .otherwise("internal error")
     )
+
+
+def known_rpc(label: Column) -> Column:
+    """Unknown calls aren't counted."""
+    return F.when(label.isin(*RPCS), label)
+
+
+def known_domain(label: Column) -> Column:
+    return F.when(label.isin(*DOMAINS), label)
+
+
+def metric_role(role: Column) -> Column:
+    return role_name(role)
+
+
+def client_error(status: Column) -> Column:
+    """The error that a client raises for a response status; null for OK and NOT_FOUND, which are results."""
+    named = F.when(status.isin("TIMEOUT", "BUSY", "BAD_REQUEST", "CONFLICT", "STALE"), F.lower(status)).otherwise("internal")
+    return F.when(~status.isin("OK", "NOT_FOUND"), named)
+
+
+def admin_status(error: Column) -> Column:
+    """The administration status of an error's name; no error is OK."""
+    return (
+        F.when(error.isNull(), "OK")
+        .when(error == "membership_change_in_progress", "MEMBERSHIP_CHANGE_IN_PROGRESS")
+        .when(error == "leadership_transfer_in_progress", "LEADERSHIP_TRANSFER_IN_PROGRESS")
+        .when(error == "not_a_voter", "NOT_A_VOTER")
+        .when(error == "invalid_configuration", "INVALID_CONFIGURATION")
+        .when(error == "cannot_transfer_to_self", "CANNOT_TRANSFER_TO_SELF")
+        .when(error == "transfer_rejected", "TRANSFER_REJECTED")
+        .when(error == "unknown_target_address", "BAD_REQUEST")
+        .when(error == "not_leader", "NOT_LEADER")
+        .when(error.isin("deadline", "canceled", "closed"), "TIMEOUT")
+        .otherwise("INTERNAL")
+    )
+
+
+def admin_message(status: Column, hint: Column) -> Column:
+    """A sentence for people about an administration status."""
+    return (
+        F.when(status == "OK", "done")
+        .when((status == "NOT_LEADER") & (F.coalesce(F.length(hint), F.lit(0)) > 0), F.concat(F.lit("this node is not the leader; try "), hint))
+        .when(status == "NOT_LEADER", "this node is not the leader, and knows of none")
+        .when(status == "BAD_REQUEST", "the request is invalid")
+        .when(status == "MEMBERSHIP_CHANGE_IN_PROGRESS", "another membership change is under way; look at the status first")
+        .when(status == "LEADERSHIP_TRANSFER_IN_PROGRESS", "a leadership transfer is under way; look at the status first")
+        .when(status == "NOT_A_VOTER", "no voter has that id")
+        .when(status == "INVALID_CONFIGURATION", "the change would leave an invalid configuration")
+        .when(status == "TIMEOUT", "timed out; it may or may not have happened, so look at the status first")
+        .when(status == "CANNOT_TRANSFER_TO_SELF", "leadership can't be transferred to the leader itself")
+        .when(status == "TRANSFER_REJECTED", "the target declined")
+        .otherwise("internal error")
+    )
+
+
+def event_sentence(event: Column, node: Column, term: Column, count: Column) -> Column:
+    """A sentence about a timeline event."""
+    s = lambda c: c.cast("string")
+    return (
+        F.when(event == "cluster_ready", F.concat(F.lit("node "), s(node), F.lit(" leads in term "), s(term)))
+        .when(event == "load_started", "clients begin to write and read")
+        .when(event == "leader_crashed", F.concat(F.lit("node "), s(node), F.lit(", the leader, is killed")))
+        .when(event == "replacement_leader", F.concat(F.lit("node "), s(node), F.lit(" leads in term "), s(term)))
+        .when(event == "post_failover_progress", "the remaining majority commits writes")
+        .when(event == "old_leader_restarted", F.concat(F.lit("node "), s(node), F.lit(" restarts from its data")))
+        .when(event == "old_leader_caught_up", F.concat(F.lit("node "), s(node), F.lit(" has caught up")))
+        .when(event == "acknowledged_writes_verified", F.concat(F.format_number(count, 0), F.lit(" acknowledged writes are still there")))
+        .otherwise("a recorded event")
+    )
+
+
+def voter_list(config: Column) -> Column:
+    """array<struct(id, addr)> of a map of voters, by number: the order of the wire form is free, so it is sorted."""
+    return F.array_sort(F.transform(F.map_entries(config), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("addr"))))

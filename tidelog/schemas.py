@@ -12,18 +12,36 @@ STATUS = {1: "OK", 2: "NOT_FOUND", 3: "NOT_LEADER", 4: "TIMEOUT", 5: "INTERNAL",
 STABLE, JOINT = 1, 2
 NEW, DUPLICATE, STALE, CONFLICT = "NEW", "DUPLICATE", "STALE", "CONFLICT"
 
-#: Label vocabularies of the metrics.
+#: Codes of the administration calls.
+ADMIN_OPERATIONS = {1: "STATUS", 2: "SNAPSHOT", 3: "TRANSFER_LEADERSHIP", 4: "ADD_VOTER", 5: "REMOVE_VOTER"}
+ADMIN_STATUS = {
+    1: "OK",
+    2: "NOT_LEADER",
+    3: "BAD_REQUEST",
+    4: "INTERNAL",
+    5: "MEMBERSHIP_CHANGE_IN_PROGRESS",
+    6: "LEADERSHIP_TRANSFER_IN_PROGRESS",
+    7: "NOT_A_VOTER",
+    8: "INVALID_CONFIGURATION",
+    9: "TIMEOUT",
+    10: "CANNOT_TRANSFER_TO_SELF",
+    11: "TRANSFER_REJECTED",
+}
+
+#: Label vocabularies of the metrics.
 OPERATIONS = ("get", "put", "delete")
 STATUSES = ("ok", "not_found", "busy", "timeout", "not_leader", "bad_request", "internal")
 RPCS = ("append_entries", "request_vote", "pre_vote", "install_snapshot", "timeout_now")
 DOMAINS = ("log", "stable", "commit", "snapshot")
-#: Histogram bounds, in seconds.
+#: Histogram bounds, in seconds.
 BOUNDS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 
-#: Limits of the formats.
+#: Limits of the formats.
 MAX_KEY, MAX_VALUE, MAX_COMMAND = 64 * 1024, 200 * 1024, 256 * 1024
 MAX_VOTERS, MAX_ADDRESS, MAX_HINT = 31, 256, 256
 MAX_ENTRIES, MAX_BYTES = 64, 512 * 1024
+MAX_CHUNK = 256 * 1024
+MAX_QUEUED, MAX_QUEUED_BYTES = 4096, 32 << 20
 ENTRY_HEADER = 13
 
 

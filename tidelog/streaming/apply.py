@@ -62,12 +62,8 @@ def state_table_updater(root: str) -> Callable[[DataFrame, int], None]:
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.filter(F.col("outcome") == NEW).select("k", "op", "v", "log_index")
-        try:
-            old = sinks.current(spark, root).select("k", "op", "v", "log_index")
-            fresh = fresh.unionByName(old)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if sinks.has_table(spark, root):  # the first batch finds none
+            fresh = fresh.unionByName(sinks.current(spark, root).select("k", "op", "v", "log_index"))
         sinks.publish(st.last_writes(fresh), root)
 
     return handle
