@@ -87,8 +87,7 @@ def relevant_log(lines: DataFrame, redactions: dict[str, str] | None = None, mos
     for was, now in (redactions or {}).items():
         text = F.replace(text, F.lit(was), F.lit(now))
     kept = lines.filter(pick).withColumn("value", text)
-    n = F.row_number().over(W.partitionBy(by).orderBy(F.col(order).desc()))
-    return kept.withColumn("__n", n).filter(F.col("__n") <= most).drop("__n")
+    return tail(kept, most, by, order)
 
 
 def status_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +101,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+#: The events of a complete bundle, and text that none of its files may hold.
 REQUIRED_EVENTS = ("cluster_ready", "load_started", "leader_crashed", "replacement_leader", "post_failover_progress", "old_leader_restarted", "old_leader_caught_up", "acknowledged_writes_verified")
 FORBIDDEN = r"(?i)/(?:home|tmp|var|Users)/|[A-Za-z]:\\|hostname|ssh|MAC"
 
@@ -169,3 +169,36 @@ def bundle_checks(spark: SparkSession, root: str) -> DataFrame:
     sums = checksum_mismatches(listed, local).agg(F.lit("checksums").alias("check"), (F.count("*") == 0).alias("passed"))
     words = local.agg(F.lit("no_forbidden_text").alias("check"), (F.count_if(F.col("content").cast("string").rlike(FORBIDDEN)) == 0).alias("passed"))
     return own.unionByName(sums).unionByName(words)
+
+
+#: The status that is shown beside each event of a timeline, by the event's place in it.
+CHECKPOINTS = ((0, "initial", "initial"), (2, "crash", None), (3, "failover", "failover"), (5, "restart-pending", None), (6, "final", "final"))
+
+
+def checkpoints(timeline: DataFrame, order: str = "at_seconds") -> DataFrame:
+    """Add `ordinal`, `mode` and `checkpoint` (null between checkpoints) to the events of one timeline, a handful of rows."""
+    out = timeline.withColumn("ordinal", F.row_number().over(W.orderBy(order)) - 1)
+    mode, checkpoint = None, None
+    for at, name, shown in reversed(CHECKPOINTS):
+        here = F.col("ordinal") >= at
+        mode = F.when(here, name) if mode is None else mode.when(here, name)
+        checkpoint = F.when(here, F.lit(shown)) if checkpoint is None else checkpoint.when(here, F.lit(shown))
+    return out.withColumn("mode", mode).withColumn("checkpoint", checkpoint)
+
+
+def versioned(manifests: DataFrame, version: int = 1) -> DataFrame:
+    """Manifests as they are; one of another schema version fails the query."""
+    wrong = F.raise_error(F.concat(F.lit("unsupported schema version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none"))))
+    return manifests.filter(F.when(F.col("schema_version").eqNullSafe(F.lit(version)), True).otherwise(wrong.cast("boolean")))
+
+
+def tail(lines: DataFrame, most: int = 120, by: str = "node_id", order: str = "line_no") -> DataFrame:
+    """The last lines of each node."""
+    n = F.row_number().over(W.partitionBy(by).orderBy(F.col(order).desc()))
+    return lines.withColumn("__n", n).filter(F.col("__n") <= most).drop("__n")
+
+
+def event_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of structured log files, a line of JSON each, with the file (`source`); other lines are dropped."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("source"), F.from_json("value", schemas.EVENT_LOG).alias("e"))
+    return lines.filter("e.event is not null").select("source", "e.*")

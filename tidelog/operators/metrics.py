@@ -52,20 +52,32 @@ def histogram_totals(obs: DataFrame, nanos: Column, by: tuple[str, ...]) -> Data
     return obs.groupBy(*by).agg(F.sum(F.greatest(nanos, F.lit(0))).alias("sum_ns"), F.count("*").alias("count"))
 
 
-def floor_percentiles(obs: DataFrame, value: str, by: tuple[str, ...], points: tuple[float, ...] = (0.5, 0.95, 0.99), exact_rows: int = 1 << 20) -> DataFrame:
+def floor_percentiles(obs: DataFrame, value: str, by: tuple[str, ...], points: tuple[float, ...] = (0.5, 0.95, 0.99), width: float = 1000.0) -> DataFrame:
     """(by..., n, p50, p95, ...): the value at the floor of p * (n - 1) in sorted order, without interpolation.
 
-    A group isn't sorted in one task: distinct values are counted first (partial sums), and ranks are running sums of
-    these counts. Values in ascending order of a group are what one window sees, one row for each distinct value.
+    No group is sorted in one task: distinct values are counted first (partial sums), then ranked within ranges of `width`
+    of the value, and only the counts of ranges are accumulated over a group.
     """
-    counts = obs.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    order = W.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("__to", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(W.partitionBy(*by)))
+    counts = obs.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n")).withColumn("__b", F.floor(F.col(value) / F.lit(width)))
+    group = W.partitionBy(*by)
+    per = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__size"))
+    per = per.withColumn("__ahead", F.coalesce(F.sum("__size").over(group.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__size").over(group)).drop("__size")
+    inside = W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = attached(counts.withColumn("__in", F.sum("__n").over(inside)), per, [*by, "__b"]).withColumn("__to", F.col("__in") + F.col("__ahead"))
     place = lambda p: F.floor(F.lit(p) * (F.col("__all") - 1)) + 1
     at = lambda p: F.max(F.when((F.col("__to") - F.col("__n") < place(p)) & (place(p) <= F.col("__to")), F.col(value))).alias(f"p{100 * p:g}".replace(".", "_"))
     return ranked.groupBy(*by).agg(F.max("__all").alias("n"), *[at(p) for p in points])
 
 
+def attached(rows: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with the columns of their block. Keys may be null; a block's rows and its one row hash to the same place."""
+    other = blocks.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[c for c in blocks.columns if c not in on])
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(other, same, "left").drop(*[f"__k{i}" for i in range(len(on))])
+
+
 def write_amplification(obs: DataFrame, physical: str, logical: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., physical_bytes, logical_bytes, amplification); null without logical bytes."""
     out = obs.groupBy(*by).agg(F.sum(physical).alias("physical_bytes"), F.sum(logical).alias("logical_bytes"))
@@ -90,13 +102,26 @@ def gauges(obs: DataFrame, value: str, order: str, by: tuple[str, ...]) -> DataF
     return obs.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
-def in_flight(changes: DataFrame, by: tuple[str, ...] = ("node_id",), order: str = "ts", delta: str = "delta") -> DataFrame:
-    """Add `in_flight`, the running sum of +1 and -1."""
-    return changes.withColumn("in_flight", F.sum(delta).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+def _running(changes: DataFrame, by: tuple[str, ...], order: str, delta: str, width: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with `__b` and the running sum `__in` within ranges of `width` of the order, ranges with the sum `__ahead` of them)."""
+    dealt = changes.withColumn("__b", F.floor(F.col(order) / F.lit(width)))
+    rows = dealt.withColumn("__in", F.sum(delta).over(W.partitionBy(*by, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    per = dealt.groupBy(*by, "__b").agg(F.sum(delta).alias("__sum"))
+    ahead = F.coalesce(F.sum("__sum").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows, per.withColumn("__ahead", ahead).drop("__sum")
+
+
+def in_flight(changes: DataFrame, by: tuple[str, ...] = ("node_id",), order: str = "ts", delta: str = "delta", width: float = 4096.0) -> DataFrame:
+    """Add `in_flight`, the running sum of +1 and -1 over a number or time; sums run within ranges of `width` of it."""
+    rows, per = _running(changes, by, order, delta, width)
+    return attached(rows, per, [*by, "__b"]).withColumn("in_flight", F.col("__in") + F.col("__ahead")).drop("__b", "__in", "__ahead")
 
 
-def high_water(changes: DataFrame, by: tuple[str, ...] = ("node_id",), order: str = "ts", delta: str = "delta") -> DataFrame:
-    return in_flight(changes, by, order, delta).groupBy(*by).agg(F.max("in_flight").alias("high_water"))
+def high_water(changes: DataFrame, by: tuple[str, ...] = ("node_id",), order: str = "ts", delta: str = "delta", width: float = 4096.0) -> DataFrame:
+    """(by..., high_water): the peaks of ranges are joined, not the rows."""
+    rows, per = _running(changes, by, order, delta, width)
+    peaks = rows.groupBy(*by, "__b").agg(F.max("__in").alias("__peak"))
+    return attached(peaks, per, [*by, "__b"]).groupBy(*by).agg(F.max(F.col("__peak") + F.col("__ahead")).alias("high_water"))
 
 
 def waiters(sessions: DataFrame, users: str = "users") -> DataFrame:
@@ -154,10 +179,10 @@ def gauge_lines(samples: DataFrame, prefix: str) -> DataFrame:
     return samples.select("metric", F.concat(name, F.when(F.size("labels") > 0, F.concat(F.lit("{"), quoted, F.lit("}"))).otherwise(""), F.lit(" "), _number(F.col("value"))).alias("line"))
 
 
-def parse_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(metric, labels, value) of exposition lines; comments and blank lines are dropped."""
+def parse_exposition(lines: DataFrame, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., metric, labels, value) of exposition lines; comments and blank lines are dropped."""
     pattern = r'^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{([^}]*)\})? ([-+0-9.eE]+|NaN|[+-]Inf)$'
     c = F.col(column)
-    found = lines.filter(c.rlike(pattern)).select(F.regexp_extract(c, pattern, 1).alias("metric"), F.regexp_extract(c, pattern, 2).alias("l"), F.regexp_extract(c, pattern, 3).alias("v"))
+    found = lines.filter(c.rlike(pattern)).select(*by, F.regexp_extract(c, pattern, 1).alias("metric"), F.regexp_extract(c, pattern, 2).alias("l"), F.regexp_extract(c, pattern, 3).alias("v"))
     names, values = F.regexp_extract_all("l", F.lit(r'([A-Za-z_][A-Za-z0-9_]*)="[^"]*"'), F.lit(1)), F.regexp_extract_all("l", F.lit(r'="([^"]*)"'), F.lit(1))
-    return found.select("metric", F.map_from_arrays(names, values).alias("labels"), F.col("v").cast("double").alias("value"))
+    return found.select(*by, "metric", F.map_from_arrays(names, values).alias("labels"), F.col("v").cast("double").alias("value"))
