@@ -36,7 +36,6 @@ classified as (select a.*, w.outcome from alog a join walk w on a.log_index = w.
 
 _LIVE = "select k, v, log_index from (select *, row_number() over (partition by k order by log_index desc) as rn from {0}) where rn = 1 and op = 'PUT'"
 _TERMS = "terms as (select log_index, log_index // 512 + 1 as term, case when log_index % 97 = 0 then 1 else 0 end as kind, k, v from log)"
-_INCOMING = "incoming as (select log_index, case when log_index >= 800 then term + 3 else term end as term, kind, k, case when log_index >= 800 then coalesce(v, 0) + 7 else v end as v from terms where log_index between 700 and 950)"
 _OBS = """obs as (select event_id, event_type, user_id,
  case when event_type = 'view' then 'get' when event_type = 'error' then 'delete' when event_type = 'signup' then 'scan' else 'put' end as operation,
  case when event_id % 11 = 0 then 'busy' when event_id % 13 = 0 then 'stale' when event_id % 7 = 0 then 'not_found' else 'ok' end as status,
@@ -46,9 +45,6 @@ _HIST = f"{_OBS}, {_BOUNDS}, hist as (select event_type, le, bound, count(*) fil
 _FINGER = "sha256({})"
 _EPOCH = "cast(floor(epoch(ts)) as bigint)"
 _RECORDS = "records as (select client_id, max(seq) as last_seq, max_by(fp, seq) as last_fingerprint from classified where outcome = 'NEW' group by 1)"
-_ACKS = """acks as (select client_id || '-' || k as key, cast(v as varchar) as value, log_index, case when log_index <= 6000 then 'before' else 'after' end as phase from log where op = 'PUT' and log_index % 3 = 0),
-kstate as (select key, value from (select client_id || '-' || k as key, op, cast(v as varchar) as value, row_number() over (partition by client_id, k order by log_index desc) as rn from log) where rn = 1 and op = 'PUT'),
-checked as (select a.*, s.key is not null and a.value is not distinct from s.value as verified from acks a left join kstate s on a.key = s.key)"""
 _CONFIG = "config as (select * from (values ('old', 1), ('old', 2), ('old', 3), ('new', 2), ('new', 3), ('new', 4), ('new', 5)) t(config, node_id))"
 _STABLE = "stable as (select * from (values (1), (2), (3), (4), (5)) t(node_id))"
 
@@ -77,16 +73,11 @@ SQL = {
     "pr2_get_at_index": f"with {_LOG}, pre as (select * from log where log_index <= 5000), st as ({_LIVE.format('pre')}), q as (select cast(range as varchar) as k from range(120)) select q.k, st.v, case when st.k is null then 'NOT_FOUND' else 'OK' end as status from q left join st on q.k = st.k",
     "pr3_committed_prefix": f"with {_LOG} select log_index, k, op, v from log where log_index > 100 and log_index <= 900",
     "pr6_entries_range": f"with {_LOG}, r as (select *, row_number() over (order by log_index) as rn, sum(length(k) + coalesce(length(cast(v as varchar)), 0) + 13) over (order by log_index rows unbounded preceding) as total from log where log_index >= 100) select log_index, k, v from r where rn = 1 or (rn <= 64 and total <= 500)",
-    "jn3_first_conflict": f"with {_LOG}, {_TERMS}, {_INCOMING} select min(i.log_index) as first_conflict from incoming i left join terms t using (log_index) where t.term is null or t.term <> i.term",
-    "se5_conflict_repair": f"with {_LOG}, {_TERMS}, {_INCOMING}, c as (select min(i.log_index) as f from incoming i left join terms t using (log_index) where t.term is null or t.term <> i.term) select t.* from terms t, c where f is null or t.log_index < f union all select i.* from incoming i, c where i.log_index >= f",
-    "jn5_range_equality": "select 'equal' as pair, true as same union all select 'longer', false",
     "se6_compaction": f"with {_LOG}, {_TERMS} select log_index, term, kind from terms where log_index > 600",
     "se7_install_boundary": f"with {_LOG}, {_TERMS} select 'matching' as boundary, count(*) as entries from terms where log_index > 600 union all select 'other term', 0",
     "se6_snapshot_suffix": f"with {_LOG} {_LIVE.format('log')}",
     "pr8_term_at": f"with {_LOG}, {_TERMS}, q as (select range as log_index from range(590, 1200, 30)) select q.log_index, case when q.log_index = 650 then 2 when q.log_index > 650 then t.term end as term from q left join terms t using (log_index)",
-    "jn9_waiters": f"with {_LOG}, {_TERMS} select log_index, case when log_index % 100 = 0 then term else term + 1 end as term, case when log_index % 100 = 0 then 'APPLIED' else 'ENTRY_LOST' end as outcome from terms where log_index % 50 = 0",
     "wn2_gap_detection": f"with {_LOG}, b as (select (log_index - 1) // 64 as n, min(log_index) as m, count(*) as entries from log group by 1), g as (select m + case when n % 11 = 10 then 3 when n % 13 = 12 then -2 else 0 end as start_index, entries from b) select start_index, entries from (select *, lag(start_index + entries, 1, 1) over (order by start_index) as expected from g) where start_index <> expected",
-    "wn1_assigned_indexes": "select event_id, 1000 + row_number() over (order by event_id) as log_index, 4 as term from events where event_id < 256",
     "ag24_batches": """with recursive p as (select user_id % 8 as node_id, event_id % 700 + 50 as bytes, row_number() over (partition by user_id % 8 order by event_id) as r from events),
 w as (select node_id, r, cast(0 as bigint) as batch, cast(1 as bigint) as n, cast(bytes as bigint) as total, cast(bytes as bigint) as bytes from p where r = 1
  union all select p.node_id, p.r, case when w.n >= 16 or w.total + p.bytes > 4096 then w.batch + 1 else w.batch end, case when w.n >= 16 or w.total + p.bytes > 4096 then 1 else w.n + 1 end, case when w.n >= 16 or w.total + p.bytes > 4096 then p.bytes else w.total + p.bytes end, p.bytes from w join p on p.node_id = w.node_id and p.r = w.r + 1)
@@ -112,8 +103,6 @@ g as (select node_id, term, min_by(candidate_id, arrival) as first from f where
 select arrival, f.node_id, f.term, candidate_id, coalesce(fresh and candidate_id = first, false) as granted from f left join g on f.node_id = g.node_id and f.term = g.term""",
     "pr10_log_up_to_date": "select event_id, event_id % 5 > event_id % 4 or (event_id % 5 = event_id % 4 and event_id % 17 >= event_id % 13) as up_to_date from events",
     "st20_read_index": "with p as (select event_id // 8 as read_context, event_id % 6 + 1 as node_id, event_id % 9 <> 0 and event_id % 5 <> 0 as good from events) select read_context, count(distinct node_id) filter (where good and node_id <= 5) >= 3 as has_quorum from p group by 1",
-    "se1_union_peers": "with o as (select distinct user_id as node_id from events where event_id < 200), n as (select distinct user_id as node_id from events where event_id between 100 and 400) select coalesce(o.node_id, n.node_id) as node_id, case when n.node_id is null then 'a' else 'b' end as addr from o full join n on o.node_id = n.node_id where coalesce(o.node_id, n.node_id) <> 7",
-    "jn13_target_changes": "with o as (select distinct user_id as node_id from events where event_id < 200), n as (select distinct user_id as node_id from events where event_id between 100 and 400) select node_id, 'start' as action from n where node_id not in (select node_id from o) union all select node_id, 'stop' from o where node_id not in (select node_id from n)",
     "ag10_requests_total": f"with {_OBS}, grid as (select * from (values ('get'), ('put'), ('delete')) a(operation) cross join (values ('ok'), ('not_found'), ('busy'), ('timeout'), ('not_leader'), ('bad_request'), ('internal')) b(status)), n as (select operation, case when status = 'stale' then 'internal' else status end as status, count(*) as c from obs where operation <> 'scan' group by 1, 2) select g.operation, g.status, coalesce(c, 0) as requests from grid g left join n on g.operation = n.operation and g.status = n.status",
     "ag12_histogram": f"with {_HIST} select event_type, le, cumulative_count from hist",
     "ag12_histogram_totals": f"with {_OBS} select event_type, cast(sum(greatest(duration_ns, 0)) as bigint) as sum_ns, count(*) as count from obs group by 1",
@@ -124,7 +113,6 @@ select arrival, f.node_id, f.term, candidate_id, coalesce(fresh and candidate_id
     "ag19_high_water": "with m as (select user_id % 10 as node_id, sum(case when event_type in ('view', 'click', 'purchase') then 1 else -1 end) over (partition by user_id % 10 order by event_id rows unbounded preceding) as n from events) select node_id, cast(max(n) as bigint) as high_water from m group by 1",
     "wn4_lags": "select event_id, greatest(event_id % 100 - event_id % 70, 0) as apply_lag, greatest(event_id % 90 - event_id % 110, 0) as peer_lag from events",
     "wn6_role_changes": "select user_id, event_id, previous, role from (select user_id, event_id, event_type as role, lag(event_type) over (partition by user_id order by event_id) as previous from events) where previous <> role",
-    "wn9_rate_5m": f"with e as (select event_id, event_type, {_EPOCH} as sec from events) select event_id, event_type, count(*) over (partition by event_type order by sec range between 300 preceding and current row) as events_in_range from e",
     "wn9_counter_increases": "with c as (select user_id % 20 as node_id, event_id, event_id % 1000 as value, lag(event_id % 1000) over (partition by user_id % 20 order by event_id) as before from events) select node_id, event_id, case when before is null then null when value < before then value else value - before end as increase from c",
     "wn10_histogram_quantile": f"""with {_HIST}, h as (select *, lag(bound, 1, 0) over (partition by event_type order by bound) as low, lag(cumulative_count, 1, 0) over (partition by event_type order by bound) as below, 0.95 * max(cumulative_count) over (partition by event_type) as rank from hist),
 f as (select *, row_number() over (partition by event_type order by bound) as rn from h where cumulative_count >= rank)
@@ -134,9 +122,6 @@ r as (select *, sum(case when hot and not was then 1 else 0 end) over (partition
 a as (select *, min(ts) over (partition by user_id, run) as since from r where hot)
 select user_id, min(ts) as started, max(ts) as ended, min(ts) filter (where ts - since >= 20000) as fires_at from a group by user_id, run having min(ts) filter (where ts - since >= 20000) is not null""",
     "wn12_instant_max": f"select {_EPOCH} // 3600 * 3600 as ts, event_type, max(event_id % 37) as value from events group by 1, 2",
-    "jn2_ack_verification": f"with {_LOG}, {_ACKS} select count(*) as total_acknowledged, count(*) filter (where verified) as verified_acknowledged, count(*) filter (where not verified) as verification_missing from checked",
-    "jn2_verified_writes": f"with {_LOG}, {_ACKS} select key, value, phase, log_index, verified from checked",
-    "ag23_ack_phases": f"with {_LOG}, {_ACKS} select phase, count(*) as acknowledged from acks group by 1",
     "jn15_missing_events": "select event_type from (values ('click'), ('view'), ('logout'), ('refund')) t(event_type) where event_type not in (select event_type from events)",
     "fn1_fingerprint": f"with {_LOG} select log_index, sha256(op || '|' || coalesce(k, '') || '|' || coalesce(cast(v as varchar), '')) as fp from log",
     "fn1_binary_fingerprint": f"with {_LOG} select log_index, sha256(from_hex(case when op = 'PUT' then '01' else '02' end || {_be(f'cast(octet_length(encode({_KEY})) as bigint)', 4)} || {_text_hex(_KEY)} || {_be(f'cast(octet_length(encode({_VALUE})) as bigint)', 4)} || {_text_hex(_VALUE)})) as fp from log",
@@ -146,29 +131,28 @@ select event_id, case when client_id % 3 <> 0 then '02' || {_be('o', 1)} || {_be
  cast(null as varchar) as error, o as op, case when client_id % 3 <> 0 then s end as seq, {_KEY} as key, {_VALUE} as value from base""",
 }
 
-#: The same operators over all events. The statements above stay as they are.
-_INCOMING_WHOLE = "incoming as (select log_index, case when log_index >= 800 then term + 3 else term end as term, kind, k, coalesce(v, 0) + 7 as v from terms)"
-_CONFLICT_WHOLE = f"{_LOG}, {_TERMS}, {_INCOMING_WHOLE}, c as (select min(i.log_index) as first_conflict from incoming i left join terms t using (log_index) where t.term is null or t.term <> i.term)"
-_ACKS_WHOLE = """acks as (select client_id || '-' || k as key, cast(v as varchar) as value, log_index, case when log_index <= 6000 then 'before' else 'after' end as phase from log where op = 'PUT'),
+_INCOMING = "incoming as (select log_index, case when log_index >= 800 then term + 3 else term end as term, kind, k, coalesce(v, 0) + 7 as v from terms)"
+_CONFLICT = f"{_LOG}, {_TERMS}, {_INCOMING}, c as (select min(i.log_index) as first_conflict from incoming i left join terms t using (log_index) where t.term is null or t.term <> i.term)"
+_ACKS = """acks as (select client_id || '-' || k as key, cast(v as varchar) as value, log_index, case when log_index <= 6000 then 'before' else 'after' end as phase from log where op = 'PUT'),
 kstate as (select key, value from (select client_id || '-' || k as key, op, cast(v as varchar) as value, row_number() over (partition by client_id, k order by log_index desc) as rn from log) where rn = 1 and op = 'PUT'),
 checked as (select a.*, s.key is not null and a.value is not distinct from s.value as verified from acks a left join kstate s on a.key = s.key)"""
-_CHANGES_WHOLE = """o as (select distinct event_id // 400 as change, user_id as node_id from events where event_id % 400 < 200),
+_CHANGES = """o as (select distinct event_id // 400 as change, user_id as node_id from events where event_id % 400 < 200),
 n as (select distinct event_id // 400 as change, user_id as node_id from events where event_id % 400 >= 100)"""
 
 SQL |= {
-    "jn3_first_conflict_whole": f"with {_CONFLICT_WHOLE} select first_conflict from c",
-    "se5_conflict_repair_whole": f"with {_CONFLICT_WHOLE} select t.* from terms t, c where first_conflict is null or t.log_index < first_conflict union all select i.* from incoming i, c where i.log_index >= first_conflict",
-    "jn5_range_equality_whole": f"""with {_LOG}, {_TERMS}, last as (select max(log_index) as last from terms),
+    "jn3_first_conflict": f"with {_CONFLICT} select first_conflict from c",
+    "se5_conflict_repair": f"with {_CONFLICT} select t.* from terms t, c where first_conflict is null or t.log_index < first_conflict union all select i.* from incoming i, c where i.log_index >= first_conflict",
+    "jn5_range_equality": f"""with {_LOG}, {_TERMS}, last as (select max(log_index) as last from terms),
 others as (select 'equal' as pair, terms.* from terms union all select 'shorter', terms.* from terms, last where log_index < last
  union all select 'changed', log_index, term, kind, k, case when log_index = last then coalesce(v, 0) + 1 else v end from terms, last),
 pairs as (select * from (values ('equal'), ('shorter'), ('changed')) p(pair))
 select pair, not exists (select log_index, term, kind, k, v from terms except select log_index, term, kind, k, v from others o where o.pair = p.pair)
  and not exists (select log_index, term, kind, k, v from others o where o.pair = p.pair except select log_index, term, kind, k, v from terms) as same from pairs p""",
-    "jn9_waiters_whole": f"with {_LOG}, {_TERMS} select log_index, term + log_index % 2 as term, case when log_index % 2 = 0 then 'APPLIED' else 'ENTRY_LOST' end as outcome from terms",
-    "wn1_assigned_indexes_whole": "select event_id, 1000 + row_number() over (order by event_id) as log_index, 4 as term from events",
-    "se1_union_peers_whole": f"with {_CHANGES_WHOLE} select coalesce(o.change, n.change) as change, coalesce(o.node_id, n.node_id) as node_id, case when n.node_id is null then 'a' else 'b' end as addr from o full join n on o.change = n.change and o.node_id = n.node_id where coalesce(o.node_id, n.node_id) <> 7",
-    "jn13_target_changes_whole": f"with {_CHANGES_WHOLE} select n.change, n.node_id, 'start' as action from n anti join o on o.change = n.change and o.node_id = n.node_id union all select o.change, o.node_id, 'stop' from o anti join n on o.change = n.change and o.node_id = n.node_id",
-    "jn2_ack_verification_whole": f"with {_LOG}, {_ACKS_WHOLE} select count(*) as total_acknowledged, count(*) filter (where verified) as verified_acknowledged, count(*) filter (where not verified) as verification_missing from checked",
-    "jn2_verified_writes_whole": f"with {_LOG}, {_ACKS_WHOLE} select key, value, phase, log_index, verified from checked",
-    "ag23_ack_phases_whole": f"with {_LOG}, {_ACKS_WHOLE} select phase, count(*) as acknowledged from acks group by 1",
+    "jn9_waiters": f"with {_LOG}, {_TERMS} select log_index, term + log_index % 2 as term, case when log_index % 2 = 0 then 'APPLIED' else 'ENTRY_LOST' end as outcome from terms",
+    "wn1_assigned_indexes": "select event_id, 1000 + row_number() over (order by event_id) as log_index, 4 as term from events",
+    "se1_union_peers": f"with {_CHANGES} select coalesce(o.change, n.change) as change, coalesce(o.node_id, n.node_id) as node_id, case when n.node_id is null then 'a' else 'b' end as addr from o full join n on o.change = n.change and o.node_id = n.node_id where coalesce(o.node_id, n.node_id) <> 7",
+    "jn13_target_changes": f"with {_CHANGES} select n.change, n.node_id, 'start' as action from n anti join o on o.change = n.change and o.node_id = n.node_id union all select o.change, o.node_id, 'stop' from o anti join n on o.change = n.change and o.node_id = n.node_id",
+    "jn2_ack_verification": f"with {_LOG}, {_ACKS} select count(*) as total_acknowledged, count(*) filter (where verified) as verified_acknowledged, count(*) filter (where not verified) as verification_missing from checked",
+    "jn2_verified_writes": f"with {_LOG}, {_ACKS} select key, value, phase, log_index, verified from checked",
+    "ag23_ack_phases": f"with {_LOG}, {_ACKS} select phase, count(*) as acknowledged from acks group by 1",
 }

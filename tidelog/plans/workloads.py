@@ -94,40 +94,19 @@ def _terms(log: DataFrame) -> DataFrame:
 
 
 def _incoming(log: DataFrame) -> DataFrame:
-    """A leader's entries from index 700, whose terms differ from 800 on."""
-    own = _terms(log).filter("log_index >= 700 and log_index <= 950")
-    return own.withColumn("term", F.when(F.col("log_index") >= 800, F.col("term") + 3).otherwise(F.col("term"))).withColumn("v", F.when(F.col("log_index") >= 800, F.coalesce(F.col("v"), F.lit(0)) + 7).otherwise(F.col("v")))
-
-
-def jn3_first_conflict(s, d):
-    return log_ops.first_conflict(_incoming(_log(s, d)), _terms(_log(s, d)))
-
-
-def _incoming_whole(log: DataFrame) -> DataFrame:
     """A leader's entries for the whole log, all with values of their own; terms differ from index 800 on."""
     return _terms(log).withColumn("term", F.when(F.col("log_index") >= 800, F.col("term") + 3).otherwise(F.col("term"))).withColumn("v", F.coalesce(F.col("v"), F.lit(0)) + 7)
 
 
-def jn3_first_conflict_whole(s, d):
-    return log_ops.first_conflict(_incoming_whole(_log(s, d)), _terms(_log(s, d)))
+def jn3_first_conflict(s, d):
+    return log_ops.first_conflict(_incoming(_log(s, d)), _terms(_log(s, d)))
 
 
 def se5_conflict_repair(s, d):
     return log_ops.repaired(_terms(_log(s, d)), _incoming(_log(s, d))).select("log_index", "term", "kind", "k", "v")
 
 
-def se5_conflict_repair_whole(s, d):
-    return log_ops.repaired(_terms(_log(s, d)), _incoming_whole(_log(s, d))).select("log_index", "term", "kind", "k", "v")
-
-
 def jn5_range_equality(s, d):
-    own = _terms(_log(s, d))
-    same = log_ops.same_entries(own.filter("log_index < 300"), own.filter("log_index < 300"), ("term", "kind", "k", "v"))
-    other = log_ops.same_entries(own.filter("log_index < 300"), own.filter("log_index < 301"), ("term", "kind", "k", "v"))
-    return same.select(F.lit("equal").alias("pair"), "same").unionByName(other.select(F.lit("longer").alias("pair"), "same"))
-
-
-def jn5_range_equality_whole(s, d):
     """The whole log against itself, itself without its last entry, and itself with another value in its last entry."""
     own = _terms(_log(s, d))
     last = F.broadcast(own.agg(F.max("log_index").alias("last")))
@@ -163,12 +142,6 @@ def pr8_term_at(s, d):
 
 
 def jn9_waiters(s, d):
-    log = _terms(_log(s, d))
-    waiting = log.filter("log_index % 50 = 0").select("log_index", F.when(F.col("log_index") % 100 == 0, F.col("term")).otherwise(F.col("term") + 1).alias("term"))
-    return log_ops.waited(waiting, log.withColumn("outcome", F.lit("APPLIED"))).select("log_index", "term", "outcome")
-
-
-def jn9_waiters_whole(s, d):
     """A waiter at every index; those at odd ones wait for another term."""
     log = _terms(_log(s, d))
     waiting = log.select("log_index", (F.col("term") + F.col("log_index") % 2).alias("term"))
@@ -184,11 +157,6 @@ def wn2_gap_detection(s, d):
 
 
 def wn1_assigned_indexes(s, d):
-    batch = _events(s, d).filter("event_id < 256").select("event_id", "user_id")
-    return log_ops.assigned(batch, 1000, 4, "event_id").select("event_id", "log_index", "term")
-
-
-def wn1_assigned_indexes_whole(s, d):
     return log_ops.assigned(_events(s, d).select("event_id", "user_id"), 1000, 4, "event_id").select("event_id", "log_index", "term")
 
 
@@ -222,7 +190,7 @@ def ag6_commit_index(s, d):
     voters = own.select("view", "leader_id", F.explode(F.when(F.col("view") % 2 == 0, stable).otherwise(F.concat(old, new))).alias("x"))
     voters = voters.select(F.col("view").alias("leader_id"), "x.config", name(F.col("x.n")).alias("node_id"))
     matches = m.select(F.col("leader_key").alias("leader_id"), (-F.col("node_id")).alias("node_id"), "match_index")
-    log = s.range(1, 1001).select(F.col("id").alias("log_index"), F.when(F.col("id") < 500, 1).otherwise(2).cast("bigint").alias("term"))
+    log = _log(s, d).select("log_index", F.when(F.col("log_index") < 500, 1).otherwise(2).cast("bigint").alias("term"))
     return quorum.commit_index(voters, matches, log, leaders).select(F.col("leader_id").alias("view"), "commit_index")
 
 
@@ -280,33 +248,19 @@ def st20_read_index(s, d):
     return quorum.read_index_quorum(probes, voters).select("read_context", "has_quorum")
 
 
-def se1_union_peers(s, d):
-    e = _events(s, d)
-    old = e.filter("event_id < 200").select(F.col("user_id").alias("node_id"), F.lit("a").alias("addr")).distinct()
-    new = e.filter("event_id between 100 and 400").select(F.col("user_id").alias("node_id"), F.lit("b").alias("addr")).distinct()
-    return quorum.union_peers(old, new, 7).select("node_id", "addr")
-
-
 def _configurations(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Old and new members of every change: 400 events each, the first half old members, all but the first quarter new ones."""
     e = _events(s, d).select(F.floor(F.col("event_id") / 400).alias("change"), (F.col("event_id") % 400).alias("i"), F.col("user_id").alias("node_id"))
     return e.filter("i < 200").select("change", "node_id").distinct(), e.filter("i >= 100").select("change", "node_id").distinct()
 
 
-def se1_union_peers_whole(s, d):
+def se1_union_peers(s, d):
     old, new = _configurations(s, d)
     peers = quorum.union_peers(old.withColumn("addr", F.lit("a")), new.withColumn("addr", F.lit("b")), 7, by=("change",))
     return peers.select("change", "node_id", "addr")
 
 
 def jn13_target_changes(s, d):
-    e = _events(s, d)
-    running = e.filter("event_id < 200").select(F.col("user_id").alias("node_id")).distinct()
-    wanted = e.filter("event_id between 100 and 400").select(F.col("user_id").alias("node_id")).distinct()
-    return quorum.target_changes(running, wanted).select("node_id", "action")
-
-
-def jn13_target_changes_whole(s, d):
     return quorum.target_changes(*_configurations(s, d), by=("change",)).select("change", "node_id", "action")
 
 
@@ -364,11 +318,6 @@ def wn6_role_changes(s, d):
     return metrics.changes(rows, "role", ("user_id",), "event_id").select("user_id", "event_id", "previous", "role")
 
 
-def wn9_rate_5m(s, d):
-    e = _events(s, d).select("event_id", "event_type", promql.epoch("ts").alias("at"))
-    return promql.event_rate(e, ("event_type",), "at", 300).select("event_id", "event_type", "events_in_range")
-
-
 def _counter(s: SparkSession, d: str) -> DataFrame:
     """A counter of each user's node, reset every 1000 events."""
     e = _events(s, d)
@@ -401,36 +350,20 @@ def _puts(s: SparkSession, d: str) -> DataFrame:
     return log.select(F.concat_ws("-", "client_id", "k").alias("key"), F.col("v").cast("string").alias("value"), "log_index", F.when(F.col("log_index") <= BOUNDARY, "before").otherwise("after").alias("phase"))
 
 
-def _acks(s: SparkSession, d: str) -> DataFrame:
-    return _puts(s, d).filter("log_index % 3 = 0")
-
-
 def _key_state(s: SparkSession, d: str) -> DataFrame:
     log = _log(s, d).select(F.concat_ws("-", "client_id", "k").alias("key"), "op", F.col("v").cast("string").alias("value"), "log_index")
     return state.live(log, "key", "value").select("key", "value")
 
 
 def jn2_ack_verification(s, d):
-    return evidence.verification(_acks(s, d), _key_state(s, d))
-
-
-def jn2_ack_verification_whole(s, d):
     return evidence.verification(_puts(s, d), _key_state(s, d))
 
 
 def jn2_verified_writes(s, d):
-    return evidence.verified(_acks(s, d), _key_state(s, d)).select("key", "value", "phase", "log_index", "verified")
-
-
-def jn2_verified_writes_whole(s, d):
     return evidence.verified(_puts(s, d), _key_state(s, d)).select("key", "value", "phase", "log_index", "verified")
 
 
 def ag23_ack_phases(s, d):
-    return evidence.ack_phases(_acks(s, d))
-
-
-def ag23_ack_phases_whole(s, d):
     return evidence.ack_phases(_puts(s, d))
 
 
