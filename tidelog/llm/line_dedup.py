@@ -7,8 +7,9 @@
    for exact counts and the choice of the occurrence that stays.
 3. Keys found often enough are joined to the documents that hold them, and these drop their lines.
 
-The filter is broadcast: it has 2 ** bits bits, chosen from the table's bytes and at most MAX_BITS (16 MB), a bound that
-doesn't grow with the data. A fuller filter suspects more keys; results stay the same.
+The filter is broadcast: it has 2 ** bits bits, chosen from the table's bytes and at most MAX_BITS (64 MB), a bound that
+doesn't grow with the data. A fuller filter suspects more keys; results stay the same. Filters are packed bits also while
+they are filled. A text travels once, beside the keys that it loses, and its lines are dropped by built-in functions.
 
 Defined results: null and empty texts are one empty line; a key in a row twice counts once; rows with equal ids are
 documents of their own that decide alike; null ids sort before all others; an empty table gives an empty result;
@@ -17,6 +18,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +26,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, shared_dir
+from .common import WHITE, ascii_lower, cut, shared_dir, whole
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SALTS = 16
-SEGMENT_BITS, LEAST_BITS, MAX_BITS, PROBES = 20, 20, 27, 4
+SEGMENT_BITS, LEAST_BITS, MAX_BITS, PROBES = 20, 20, 29, 4
+#: So many keys are hashed at a time, which bounds a worker's memory whatever a batch of texts holds.
+AT_ONCE = 32768
 _WHITE_BYTES = WHITE.encode()
 
 
@@ -50,35 +54,57 @@ def _places(keys: list[bytes], bits: int) -> np.ndarray:
     return (h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64((1 << bits) - 1)
 
 
-def _keys(text: str | None, min_chars: int) -> set[bytes]:
-    return {k for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if (k := key_of(line, min_chars)) is not None}
+def _keys(text: bytes, min_chars: int) -> set[bytes]:
+    return {k for line in text.split(b"\n") if (k := key_of(line, min_chars)) is not None}
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[list[bytes]]:
+    """The keys of all texts, about AT_ONCE at a time; a key twice in a text counts once."""
+    keys: list[bytes] = []
+    for b in batches:
+        for t in b.column(0):
+            keys.extend(_keys(t.as_py() or b"", min_chars))
+            if len(keys) >= AT_ONCE:
+                yield keys
+                keys = []
+    if keys:
+        yield keys
+
+
+def _masks(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte number and bit mask of filter places."""
+    return (places >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (places & np.uint64(7)).astype(np.uint8)
+
+
+def _set(filt: np.ndarray, places: np.ndarray) -> None:
+    """Set sorted places of a packed filter, those of one byte together."""
+    at, mask = _masks(places)
+    if len(at):
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        filt[at[first]] |= np.bitwise_or.reduceat(mask, first)
 
 
 def _filters(bits: int, min_chars: int):
-    segment = 1 << min(bits, SEGMENT_BITS)
+    segment = 1 << (min(bits, SEGMENT_BITS) - 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
-        for b in batches:
-            keys = [k for t in b.column(0) for k in _keys(t.as_py(), min_chars)]
-            for i in range(0, len(keys), 65536):
-                flat = np.sort(_places(keys[i : i + 65536], bits), axis=None)
-                again = flat[1:][flat[1:] == flat[:-1]]
-                twice[again] = True
-                twice[flat[once[flat]]] = True
-                once[flat] = True
-        rows = []
-        for k in range(0, 1 << bits, segment):
+        once, twice, share = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8), 0
+        for keys in _gathered(batches, min_chars):
+            flat = np.sort(_places(keys, bits), axis=None)
+            share = share or int(flat[0]) & 63
+            _set(twice, flat[1:][flat[1:] == flat[:-1]])
+            at, mask = _masks(flat)
+            _set(twice, flat[(once[at] & mask) != 0])
+            _set(once, flat)
+        for k in range(0, len(once), segment):
             if once[k : k + segment].any():
-                rows.append((k // segment, _packed(once[k : k + segment]), _packed(twice[k : k + segment])))
-        share = xxhash.xxh32_intdigest(str(once.nonzero()[0][:64].tolist())) & 63
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([share] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "share", "once", "twice"])
+                yield pa.record_batch([pa.array([k // segment], pa.int32()), pa.array([share], pa.int32()), pa.array([_packed(once[k : k + segment])], pa.binary()), pa.array([_packed(twice[k : k + segment])], pa.binary())], names=["segment", "share", "once", "twice"])
 
     return run
 
 
-def _packed(flags: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(flags).tobytes(), 1)
+def _packed(part: np.ndarray) -> bytes:
+    return zlib.compress(part.tobytes(), 1)
 
 
 def _bits(packed: bytes) -> np.ndarray:
@@ -90,13 +116,13 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     for o, t in zip(group["once"], group["twice"], strict=True):
         o, t = _bits(o), _bits(t)
         once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-    return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [0], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+    return pd.DataFrame({"segment": [group["segment"].iloc[0]], "share": [0], "once": [_packed(once)], "twice": [_packed(twice)]})
 
 
 def twice_seen(docs: DataFrame, text: str, bits: int, min_chars: int = MIN_CHARS) -> np.ndarray:
     """The twice-seen filter over all lines of all rows, as packed bytes."""
     schema = "segment int, share int, once binary, twice binary"
-    made = docs.select(F.col(text).alias("text")).mapInArrow(_filters(bits, min_chars), schema)
+    made = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(_filters(bits, min_chars), schema)
     merged = made.groupBy("segment", "share").applyInPandas(_merge, schema).groupBy("segment").applyInPandas(_merge, schema)
     size = 1 << (min(bits, SEGMENT_BITS) - 3)
     out = np.zeros(1 << (bits - 3), np.uint8)
@@ -108,36 +134,37 @@ def twice_seen(docs: DataFrame, text: str, bits: int, min_chars: int = MIN_CHARS
 def _suspects(shared, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = np.frombuffer(shared.value, np.uint8)
+
+        def tested(b: pa.RecordBatch, rows: list[int], keys: list[bytes]) -> pa.RecordBatch:
+            at, mask = _masks(_places(keys, bits))
+            own = np.flatnonzero((filt[at] & mask).astype(bool).all(axis=1))
+            return pa.record_batch([b.column("id").take(pa.array(np.array(rows, np.int64)[own])), pa.array([digest(keys[i]) for i in own], pa.binary())], names=["id", "key"])
+
         for b in batches:
             rows, keys = [], []
             for i, t in enumerate(b.column("text")):
-                own = _keys(t.as_py(), min_chars)
+                own = _keys(t.as_py() or b"", min_chars)
                 keys.extend(own)
                 rows.extend([i] * len(own))
-            if not keys:
-                continue
-            at = _places(keys, bits)
-            hit = ((filt[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
-            own = np.flatnonzero(hit)
-            yield pa.record_batch([b.column("id").take(pa.array(np.array(rows, np.int64)[own])), pa.array([xxhash.xxh3_128_digest(keys[i]) for i in own], pa.binary())], names=["id", "key"])
+                if len(keys) >= AT_ONCE:
+                    yield tested(b, rows, keys)
+                    rows, keys = [], []
+            if keys:
+                yield tested(b, rows, keys)
 
     return run
 
 
-def _dropped(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, totals, drops = [], [], []
-            for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-                bad = set(gone or ())
-                stay = [x for x in lines if not bad or (k := key_of(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in bad]
-                texts.append(b"\n".join(stay).decode("utf-8", "surrogatepass"))
-                totals.append(len(lines))
-                drops.append(len(lines) - len(stay))
-            yield pa.record_batch([b.column("row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], names=["row", "text", "n_lines", "n_dropped"])
+def digest(key: bytes) -> bytes:
+    """What a key is shuffled as; SQL has it as unhex(md5(key))."""
+    return hashlib.md5(key, usedforsecurity=False).digest()
 
-    return run
+
+def _kept(lines: Column, gone: Column, min_chars: int) -> Column:
+    """The lines whose keys aren't in `gone`, which may be null."""
+    key = lambda x: ascii_lower(F.btrim(x, F.lit(WHITE)))
+    stays = F.filter(lines, lambda x: F.when(F.length(key(x)) >= min_chars, ~F.array_contains(gone, F.unhex(F.md5(key(x))))).otherwise(True))
+    return F.when(gone.isNull(), lines).otherwise(stays)
 
 
 def filter_bits(docs: DataFrame) -> int:
@@ -147,14 +174,14 @@ def filter_bits(docs: DataFrame) -> int:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "last", bits: int | None = None) -> DataFrame:
-    """(row: struct of all columns of `docs`, text: what is left of it, n_lines, n_dropped) for every row.
+    """(row: struct of the other columns of `docs`, text: what is left of it, n_lines, n_dropped) for every row.
 
     Keys of at least `min_chars` code points in at least `min_docs` rows lose all their lines but in the rows with the
     largest id ("last") or the smallest ("first").
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     bits = bits or filter_bits(src)
     shared = spark.sparkContext.broadcast(twice_seen(src, "text", bits, min_chars).tobytes())
     kind = src.schema["id"].dataType.simpleString()
@@ -165,10 +192,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     spread = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = suspects.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     gone = salted.join(spread, ["key", "salt"]).filter(~F.col("id").eqNullSafe(F.col("stays"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    held = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]), "left").select("row", "text", "gone")
-    slim = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">"
-    return held.mapInArrow(_dropped(min_chars), f"row {slim}, text string, n_lines bigint, n_dropped bigint")
+    others = [c for c in docs.columns if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("__none"))
+    rows = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text}`")).alias("text"))
+    held = rows.join(gone, rows["id"].eqNullSafe(gone["__id"]), "left").select("row", F.split("text", "\n", -1).alias("lines"), "gone")
+    left = held.select("row", "lines", _kept(F.col("lines"), F.col("gone"), min_chars).alias("stay"))
+    return left.select("row", F.array_join("stay", "\n").alias("text"), F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size("stay")).cast("bigint").alias("n_dropped"))
 
 
 def report(docs: DataFrame) -> DataFrame:
