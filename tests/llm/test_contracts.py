@@ -128,7 +128,7 @@ def test_decontamination(spark, small, docs, local):
 
 
 def test_decontamination_without_broadcast(spark, docs, local, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 3)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
     got = decontaminate.report(docs, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
     assert rows(got, "doc_id", "n_hit", "n_items", "items_sha256") == sorted(((d, h, n, s) for d, _, h, n, s, _ in brute.leaks([(d, t) for d, t, _ in local], ITEMS)), key=str)
 

@@ -57,7 +57,7 @@ def test_any_two_terms_may_be_missing(spark):
 
 @pytest.mark.parametrize("most", [200_000, 3])
 def test_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     r = random.Random(5)
     words = WINDOW.split() + [f"w{i}" for i in range(12)]
     items = [(i, " ".join(r.choices(words, k=r.choice([3, 10, 14])))) for i in range(6)] + [(7, WINDOW), (8, None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of either kind.
+_BETWEEN = {WORD: r"[\x20\x09-\x0D]+", PLAIN_WORD: r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,16 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. A temporary one stands in only where the driver is the one executor, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it again: columnar, unlike `cut`, for what several steps scan."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -46,8 +58,8 @@ def whole(text: Column) -> Column:
 
 
 def words_of(text: Column, pattern: str = WORD) -> Column:
-    """All words of a text; an empty array for null."""
-    return F.regexp_extract_all(whole(text), F.lit(pattern), F.lit(0))
+    """All words of a text; an empty array for null. Cutting at what is between words is several times faster than matching them."""
+    return F.array_remove(F.split(whole(text), _BETWEEN[pattern], -1), "")
 
 
 def plan_partitions(df: DataFrame, least: int = 1) -> int:
