@@ -54,7 +54,7 @@ def with_spans(df: DataFrame, text: str, finders: Mapping[str, Finder], context:
     neighbouring match. Null texts are empty; a text without matches gives an empty array.
     """
     names = list(finders)
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if c != text]  # callers keep names that could clash in a struct
     whole = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__t"))
 
     def parts(f: Finder) -> list[Column]:
