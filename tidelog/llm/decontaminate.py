@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, ascii_lower, cut, stored, words_of
+from .common import PLAIN_WORD, ascii_lower, cut, small, stored, words_of
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
@@ -45,11 +45,6 @@ def windows(items: DataFrame, item_col: str = "item_id", text: str = "text", wid
     return every.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def small(df: DataFrame, most: int) -> bool:
-    """Whether a table has at most `most` rows, by counting no more than one over that."""
-    return df.limit(most + 1).count() <= most
-
-
 def _counted(table: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(term, n): how often each term of the windows is in the documents; terms that no document has are missing."""
     terms = table.select(F.explode("window").alias("term")).distinct()

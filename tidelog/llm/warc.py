@@ -2,13 +2,17 @@
 
 Writing: each capture is one WARC 1.1 record. Records are text rows, written by Spark's own text writer with the record
 end as line separator, so files are committed task by task to any file system that Spark writes, and a lost executor
-costs only its tasks. Payloads of at least MIN_REVISIT bytes that equal an earlier capture's become revisit records
-without payload.
+costs only its tasks. Files are not compressed as a whole, so an index row's offset is a place that a reader can seek.
+A file has so many records that neither the usual nor the longest ones make it larger than the reader can hold. Payloads of
+at least MIN_REVISIT bytes that equal an earlier capture's become revisit records without payload; the list of such
+payloads' digests is broadcast up to BROADCAST_ROWS rows, and beyond that joined by digest and a salt.
 
 Index: every archive file gives a run of index rows, sorted by URL key and timestamp. Runs are dealt to ranges of that
 order, and in each range a loser tree merges the runs, so the ranges in turn are the globally ordered capture history.
-A range holds index rows alone, whose number follows the shuffle partitions; a URL with very many captures is split by
-timestamp.
+A range has about RANGE_ROWS index rows (without payloads) whatever the table's size, and is what a task holds; a URL with
+very many captures is split by timestamp.
+
+Reading takes plain archives and gzip files of one or many members.
 
 Defined results: null payloads are empty; the smallest id of equal payloads is the response, and rows that repeat it are
 responses too; null ids come last and refer like others; an empty table gives an empty archive and result; columns other
@@ -18,6 +22,7 @@ than those named aren't read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -27,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plan_partitions, shared_dir
+from .common import plan_partitions, shared_dir, small
 
 MIN_REVISIT = 100
 END = "\r\n\r\n"
-#: Captures have no time of their own in `pages`: they are taken a second apart from here.
-EPOCH = 1704067200
+#: Captures have no time of their own in `pages`: they are taken a second apart from here, in the order of their ids, which wrap around after some thousand years.
+EPOCH, SECONDS = 1704067200, 200_000_000_000
+#: The usual and the largest size of a file in bytes, rows of an index range, rows of a broadcast list.
+FILE_BYTES, MOST_BYTES, RANGE_ROWS, BROADCAST_ROWS, SALTS = 128 << 20, 1 << 30, 200_000, 200_000, 16
 RECORD = "page_id bigint, url string, timestamp string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, file string, offset bigint"
 
 
@@ -50,9 +57,14 @@ def captures(pages: DataFrame, id_col: str = "page_id", url: str = "url", payloa
     p = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), p.alias("payload"), F.octet_length(p).cast("bigint").alias("bytes"), F.sha2(p, 256).alias("digest"))
     first = rows.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    met = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") >= MIN_REVISIT), "left")
+    if small(first, BROADCAST_ROWS):
+        met = rows.join(F.broadcast(first), (F.col("digest") == F.col("d")) & (F.col("bytes") >= MIN_REVISIT), "left")
+    else:  # a payload may be that of a third of all pages
+        spread = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        met = rows.join(spread, (F.col("digest") == F.col("d")) & (salt == F.col("s")) & (F.col("bytes") >= MIN_REVISIT), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    time = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    time = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return met.select("page_id", "url", "payload", "bytes", "digest", time.alias("time"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
@@ -77,9 +89,17 @@ def _record(name: str = "tidelog") -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 20_000, **names: str) -> None:
-    """Write one record for each row of `pages` as gzip-compressed archive files under `path`."""
-    captures(pages, **names).select(_record().alias("value")).write.mode("errorifexists").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def records_per_file(pages: DataFrame, payload: str = "html") -> int:
+    """So many records that a file of usual ones has about FILE_BYTES, and one of the longest ones at most MOST_BYTES."""
+    size = F.octet_length(payload) + 1024
+    usual, longest = pages.agg(F.avg(size), F.max(size)).first()
+    return max(1, min(int(FILE_BYTES / (usual or 1024)), MOST_BYTES // (longest or 1024)))
+
+
+def write(pages: DataFrame, path: str, **names: str) -> None:
+    """Write one record for each row of `pages` in archive files under `path`."""
+    most = records_per_file(pages, names.get("payload", "html"))
+    captures(pages, **names).select(_record().alias("value")).write.mode("errorifexists").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 _ID = re.compile(rb"<urn:[a-z]+:(-?[0-9]+|none)>")
@@ -126,11 +146,12 @@ def _number(found: bytes | None) -> int | None:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64() if x.endswith("bigint") else pa.string() for x in RECORD.split(", ")]
+    batch = lambda rows: pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
     for b in batches:
         for name, content in zip(b.column("path"), b.column("content"), strict=True):
             file, data = name.as_py().rpartition("/")[2], content.as_py()
             data = unzipped(data) if data[:2] == b"\x1f\x8b" else data
-            rows = []
+            rows: list[tuple] = []
             for at, h, payload in records(data):
                 kind, said = h[b"warc-type"].decode(), h[b"warc-payload-digest"].decode().removeprefix("sha256:")
                 if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
@@ -138,7 +159,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = len(payload) if kind == "response" else int(h[b"x-payload-length"])
                 stamp = re.sub(r"[^0-9]", "", h[b"warc-date"].decode())
                 rows.append((_number(h[b"warc-record-id"]), h[b"warc-target-uri"].decode("utf-8", "replace"), stamp, kind, said, size, _number(h.get(b"warc-refers-to")), file, at))
-            yield pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+                if len(rows) == 10_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -185,6 +209,7 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one range, which come run by run, in the order of the loser tree. Rows stay Arrow columns; only sort keys are Python's."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -192,14 +217,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, keys = t.column("file").to_pylist(), list(zip(t.column("url_key").to_pylist(), t.column("timestamp").to_pylist(), t.column("offset").to_pylist(), strict=True))
     starts = [i for i in range(len(file)) if i == 0 or file[i] != file[i - 1]]
     runs = [iter(range(a, b)) for a, b in zip(starts, [*starts[1:], len(file)], strict=True)]
-    order = pa.array(list(LoserTree(runs, keys.__getitem__)), pa.int64())
-    yield from t.take(order).to_batches(max_chunksize=10_000)
+    order = iter(LoserTree(runs, keys.__getitem__))
+    while part := list(itertools.islice(order, 10_000)):
+        yield from t.take(pa.array(part, pa.int64())).combine_chunks().to_batches()
 
 
-def history(archive: DataFrame) -> DataFrame:
-    """The rows of `read` with url_key, globally ordered by (url_key, timestamp): run by run within ranges, merged by a loser tree."""
+def history(archive: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of `read` with url_key, globally ordered by (url_key, timestamp): run by run within ranges, merged by a loser tree. `rows`: how many there are, if that is known."""
     keyed = archive.withColumn("url_key", url_key(F.col("url")))
-    dealt = keyed.repartitionByRange(plan_partitions(archive), "url_key", "timestamp", "file", "offset")
+    ranges = max(plan_partitions(archive), -(-(archive.count() if rows is None else rows) // RANGE_ROWS))
+    dealt = keyed.repartitionByRange(ranges, "url_key", "timestamp", "file", "offset")
     runs = dealt.sortWithinPartitions("file", "url_key", "timestamp", "offset")
     return runs.mapInArrow(_merge, f"{RECORD}, url_key string")
 
@@ -208,5 +235,6 @@ def report(pages: DataFrame) -> DataFrame:
     """Write the pages, read the archives back, and give the contract's columns in the order of the capture history."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages.select("page_id", "url", "html"), path)
-    return history(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = pages.select("page_id", "url", "html")
+    write(pages, path)
+    return history(read(spark, path), pages.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
