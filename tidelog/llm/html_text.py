@@ -7,6 +7,9 @@ pass an undecided block inherits the label of its nearest decided neighbour. For
 judged by what they hold (see `outside`). Pages are independent of each other, so the plan is a scan and one Arrow map: no shuffle,
 and a task holds one batch of pages.
 
+Stop words are known for four languages; long blocks without links of any other are judged by their neighbours, or count as
+text where nothing on the page is decided.
+
 Defined results: null and empty pages give an empty text; tags that are never closed end with the page; repeated rows
 are rows of their own; an empty table gives an empty result; other columns pass through.
 """
@@ -29,7 +32,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 #: Elements whose content is no text of the page, read up to their end tag.
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OFF = frozenset("nav footer aside form button select dialog menu head".split())
 _BLOCK = frozenset(
@@ -45,6 +48,8 @@ _BESIDE = frozenset(
 #: How sure it is that a part is beside the main text. A class or id word alone ("no-sidebar", "ad-slot"), and a form, are
 #: WEAK; a name of such words only ("sidebar", "cookie-banner", "ad2") is STRONG; elements, roles and hidden parts are HARD.
 _NONE, _WEAK, _STRONG, _HARD = range(4)
+#: Elements that hold text themselves: a class like "notice-board" doesn't make a paragraph a part beside the text.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -102,7 +107,7 @@ def _off(tag: str, attrs: str, inside_main: bool) -> int:
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for token in value.split():
                 words = [w in _BESIDE for w in _PART.findall(token) if not w.isdigit()]
-                if any(words):
+                if any(words) and (all(words) or tag not in _TEXT):
                     sure = max(sure, _STRONG if all(words) else _WEAK)
     return sure
 
@@ -279,15 +284,16 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
 def extracted(pages: DataFrame, html_col: str = "html", out: str = "text", rules: Rules | None = None) -> DataFrame:
     """The rows of `pages` with `out` in place of `html_col`."""
     others = [f for f in pages.schema.fields if f.name not in (html_col, out)]
-    slim = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    names = [f.name for f in others]
+    names = [f"_{i}" for i in range(len(others))]  # whatever the columns are called
+    slim = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, others, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py(), rules) for x in b.column(b.num_columns - 1)]
-            yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, out])
+            yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return pages.select(*[F.col(f"`{n}`") for n in names], F.col(html_col).cast("string").alias("__html")).mapInArrow(run, (slim + ", " if slim else "") + f"`{out}` string")
+    rows = pages.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, others, strict=True)], F.col(f"`{html_col}`").cast("string").alias("html"))
+    return rows.mapInArrow(run, f"{slim}text string").toDF(*[f.name for f in others], out)
 
 
 def report(pages: DataFrame) -> DataFrame:
