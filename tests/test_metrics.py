@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,7 +53,9 @@ def test_sustained_and_rate(spark):
     assert got == [(30, 70, 70)]
     c = spark.createDataFrame([(0, 5.0), (60, 8.0), (120, 2.0), (600, 4.0)], "ts bigint, value double")
     assert [r["increase"] for r in promql.increases(c, ()).orderBy("ts").collect()] == [None, 3.0, 2.0, 2.0]
-    assert [r["rate"] for r in promql.rate(c, ()).orderBy("ts").collect()] == pytest.approx([0, 3 / 300, 5 / 300, 2 / 300])
+    assert [r["rate"] for r in promql.rate(c, ()).orderBy("ts").collect()] == [None, 3 / 300, 5 / 300, None]
+    far = spark.createDataFrame([(0, 0.0), (1000, 300.0)], "ts bigint, value double")  # one sample is in range
+    assert [r["rate"] for r in promql.rate(far, ()).orderBy("ts").collect()] == [None, None]
 
 
 def test_alert_rules(spark):
@@ -121,3 +124,22 @@ def test_relevant_log(spark):
     lines = [(1, i, f'{{"event":"{e}","dir":"/x/{i}"}}') for i, e in enumerate(["node_started", "other", "leader_elected"] + ["dedup_stale"] * 200)]
     got = evidence.relevant_log(spark.createDataFrame(lines, "node_id bigint, line_no bigint, value string"), {"/x": "data"})
     assert got.count() == 120 and got.filter("value like '%/x%'").count() == 0
+
+
+@pytest.mark.parametrize("block", [300, 1000, 10**9])
+def test_blocks_change_nothing(spark, block):
+    """Rates, increases, counts in range, running sums and runs are the same however a series is cut."""
+    r = random.Random(6)
+    ts = sorted(r.sample(range(20_000), 400))
+    rows = [(g, t, float(r.randrange(50)), r.choice((1, -1))) for g in ("a", None) for t in ts]
+    d = spark.createDataFrame(rows, "g string, ts bigint, value double, delta int")
+    one = 10**9
+    key = lambda x: tuple((v is not None, v) for v in x)
+    same = lambda f, *cols: sorted(map(tuple, f(block).select(*cols).collect()), key=key) == sorted(map(tuple, f(one).select(*cols).collect()), key=key)
+    assert same(lambda b: promql.increases(d, ("g",), block=b), "g", "ts", "increase")
+    assert same(lambda b: promql.rate(d, ("g",), block=b), "g", "ts", "rate")
+    assert same(lambda b: promql.event_rate(d, ("g",), "ts", block=b), "g", "ts", "events_in_range")
+    assert same(lambda b: promql.sustained(d, F.col("value") > 20, 100, ("g",), block=b), "g", "started", "ended", "fires_at")
+    assert same(lambda b: metrics.in_flight(d, ("g",), width=float(b)), "g", "ts", "in_flight")
+    assert same(lambda b: metrics.high_water(d, ("g",), width=float(b)), "g", "high_water")
+    assert same(lambda b: metrics.floor_percentiles(d, "value", ("g",), width=b / 100), "g", "n", "p50", "p95", "p99")
