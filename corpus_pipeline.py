@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared folder and read
 again as the next stage's documents.
+
+Defined results: null and empty texts fail the quality rules (fewer than 50 words); a text that line dedup empties stays as
+an empty text, is linked with nothing and has no words, so later stages keep it with a size of 0; of repeated rows one
+stays; very long texts are judged whole; other columns pass all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,10 +57,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on `documents`. A stage's table goes when the next one is written; the last one's input stays, as its result is lazy."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _drop(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)
