@@ -76,7 +76,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger's rows, a pair once; empty before the first update."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], LEDGER)
+        kinds = dict(c.split(" ", 1) for c in LEDGER.split(", "))
+        return spark.range(0).select(*[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
     return spark.read.schema(LEDGER).parquet(path).groupBy("blob", "rule_version").agg(F.first("base").alias("base"), F.first("added").alias("added"))
 
 
