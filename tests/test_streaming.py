@@ -46,3 +46,19 @@ def test_store(spark, tmp_path):
     assert s.put("x", "", client=5) == "NEW"
     assert s.get("x") == ("OK", "") and s.get("x", at=3) == ("OK", "1")
     assert s.status()["last_index"] == 4 and s.status()["live_keys"] == 1
+
+
+def test_store_reads_its_snapshot(spark, tmp_path):
+    """Outcomes and state go on from the snapshot after the log before it is gone."""
+    s = Store(spark, f"file://{tmp_path}/store")
+    assert [s.put("x", "1", client=5), s.put("y", "2", client=5), s.put("z", "3"), s.delete("z")] == ["NEW"] * 4
+    s.snapshot()
+    assert s.compact() == 4 and s.log().count() == 0
+    again = Store(spark, f"file://{tmp_path}/store")
+    assert again.last_index() == 4 and again.get("x") == ("OK", "1") and again.get("z") == ("NOT_FOUND", None)
+    assert again.put("y", "2", client=5, seq=2) == "DUPLICATE"
+    assert again.put("y", "4", client=5, seq=3) == "NEW"
+    assert again.put("w", "0", client=5, seq=1) == "STALE"
+    assert {r["k"]: r["v"] for r in again.state().collect()} == {"x": "1", "y": "4"}
+    again.snapshot()
+    assert {r["k"]: r["v"] for r in again.state().collect()} == {"x": "1", "y": "4"} and again.put("y", "4", client=5, seq=3) == "DUPLICATE"

@@ -6,6 +6,7 @@ key and value columns; identified logs have client_id, seq and fp (fingerprint)
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,14 +63,21 @@ def outcome(seq: Column, fp: Column, last_seq: Column, last_fp: Column) -> Colum
     return F.when(seq == last, F.when(fp == last_fp, DUPLICATE).otherwise(CONFLICT)).when(seq == last + 1, NEW).otherwise(STALE)
 
 
-def _fold(clients: list, seqs: list, prints: list, last: tuple) -> tuple[list[str], tuple]:
+#: The `op` of a row that is a client's record from a snapshot: its sequence number and fingerprint are taken over.
+RECORD = "RECORD"
+
+
+def _fold(clients: list, seqs: list, prints: list, last: tuple, ops: list | None = None) -> tuple[list[str], tuple]:
     """Outcomes of rows in order, from the record (client, last sequence, fingerprint) before them to the one after them."""
     client, seq, print_ = last
     out = []
-    for c, s, f in zip(clients, seqs, prints, strict=True):
+    for c, s, f, o in zip(clients, seqs, prints, ops or itertools.repeat(None, len(seqs)), strict=True):
         if c != client:
             client, seq, print_ = c, 0, None
-        if s == seq:
+        if o == RECORD:
+            seq, print_ = s, f
+            out.append(RECORD)
+        elif s == seq:
             out.append(DUPLICATE if f == print_ else CONFLICT)
         elif s == seq + 1:
             seq, print_ = s, f
@@ -82,7 +90,8 @@ def _fold(clients: list, seqs: list, prints: list, last: tuple) -> tuple[list[st
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = (None, 0, None)
     for b in batches:
-        out, last = _fold(*(b.column(c).to_pylist() for c in ("client_id", "seq", "fp")), last)
+        ops = b.column("op").to_pylist() if "op" in b.schema.names else None
+        out, last = _fold(*(b.column(c).to_pylist() for c in ("client_id", "seq", "fp")), last, ops)
         yield pa.record_batch([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "outcome"])
 
 
@@ -96,7 +105,8 @@ def classify(log: DataFrame, index: str = "log_index") -> DataFrame:
 
     Rows of an unidentified client (see `identified`) are always NEW and aren't shuffled. Whether a sequence number is
     accepted depends on where its predecessor was, so a client's rows are folded in order, as a stream over its sorted
-    rows: linear, with one record in memory however many rows a client has. Columns pass through as Arrow buffers.
+    rows: linear, with one record in memory however many rows a client has. Columns pass through as Arrow buffers. Rows whose
+    `op` is RECORD, if there are any, are where a client's rows start from, and stay as such.
     """
     known = identified(F.col("client_id")) if dict(log.dtypes)["client_id"] == "binary" else F.col("client_id").isNotNull()
     anonymous = log.filter(~known).withColumn("outcome", F.lit(NEW))
