@@ -1,11 +1,13 @@
 """What the methods add to the base contracts, and their parts."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from tidelog.llm import boosting, licenses, line_dedup, mixing, near_dedup, pii, secret_scan, spans
 from tidelog.llm.components import components
 
@@ -191,3 +193,59 @@ def test_curriculum_positions(spark):
     for tilt in (-0.5, 0.0, 0.5):
         for r in d.select("x", mixing._inverse(F.col("x"), F.lit(tilt)).alias("t")).collect():
             assert r["t"] + tilt * (r["t"] ** 2 - r["t"]) == pytest.approx(r["x"])
+
+
+def diagonals(text, k=licenses.K):
+    """(label, start, end, share) of the verified spans of a text, voted by word k-grams in plain Python."""
+    w = brute.PLAIN.findall((text or "").translate(brute.UPPER))
+    at = {}
+    for i in range(len(w) - k + 1):
+        at.setdefault(tuple(w[i : i + k]), []).append(i)
+    out = []
+    for n, (label, body) in enumerate(licenses.TEMPLATES):
+        t = body.split(" ")
+        votes = {}
+        for j in range(len(t) - k + 1):
+            for i in at.get(tuple(t[j : j + k]), ()):
+                votes.setdefault(i - j, []).append(i)
+        runs = []
+        for d in sorted(votes):
+            if runs and d - runs[-1][0] <= licenses.NEIGHBOURS:
+                runs[-1] = (d, runs[-1][1] + votes[d])
+            else:
+                runs.append((d, list(votes[d])))
+        for _, places in runs:
+            share = min(1.0, len(places) / (len(t) - k + 1))
+            low, high = min(places), max(places) + k - 1
+            if share >= (licenses.SHORT_SHARE if len(t) < licenses.SHORT_WORDS else licenses.LEAST_SHARE) and high - low <= 2 * len(t):
+                out.append((n, label, low, high, share))
+    return out
+
+
+def test_license_spans_against_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", "mit license"]
+    for label, body in licenses.TEMPLATES:
+        w = body.split(" ")
+        noise = [f"n{r.randrange(50)}" for _ in range(r.randrange(20))]
+        texts.append(" ".join(noise + w + noise))
+        texts.append(" ".join(x for x in w if r.random() > 0.05))
+        texts.append(" ".join(y for x in w for y in ((x, f"i{r.randrange(9)}") if r.random() < 0.05 else (x,))))
+        texts.append(" ".join(w[: len(w) // 3]))
+        texts.append(" ".join((w + noise) * 3))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["id"]: sorted((s["template"], s["label"], s["start"], s["end"], round(s["share"], 9)) for s in x["spans"]) for x in licenses.scanned(d).collect()}
+    assert got == {i: sorted((n, a, b, c, round(e, 9)) for n, a, b, c, e in diagonals(t)) for i, t in enumerate(texts)}
+    report = {x["doc_id"]: (x["labels"], x["score"]) for x in licenses.report(d).collect()}
+    for i, t in enumerate(texts):
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {(t or '').lower()} "}
+        spans = diagonals(t)
+        assert report[i] == (",".join(sorted(base | {s[1] for s in spans})), 1.0 if base else max([s[4] for s in spans], default=0.0))
+
+
+def test_a_notice_very_often_in_one_text(spark):
+    body = licenses.TEMPLATES[0][1]
+    d = spark.createDataFrame([(1, " and then ".join([body] * 4000))], "doc_id bigint, text string")
+    began = time.time()
+    found = licenses.scanned(d).first()["spans"]
+    assert time.time() - began < 60 and found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node, label) for every node of `edges` (src, dst: bigint, not null); label: the smallest node it can reach.
 
     Each round is two aggregations and two joins over the edges that are left and ends in a checkpoint, so lineage

@@ -4,17 +4,18 @@
    of every minimum are packed into a signature.
 2. Candidates: texts that share a band key. Instead of all pairs of a bucket, every member is tied to the bucket's
    smallest one, and components of these ties are the clusters in which every candidate pair lies.
-3. Confirmation: clusters are dealt out in blocks (pairs of chunks of at most CHUNK texts), so no task gets an
-   unbounded group. Within a block, pairs that share a band and aren't yet connected are screened by the
-   collision-corrected similarity of their packed signatures (bit counts) and then confirmed on full sets. Blocks give
-   confirmed links only, at most one less than they have texts.
+3. Confirmation: clusters are dealt out in blocks (pairs of chunks of at most about CHUNK texts), so no task gets an
+   unbounded group. Within a block, pairs that aren't connected yet are screened by the collision-corrected similarity of
+   their packed signatures (bit counts) and the size ratio, and confirmed on full sets. Blocks give confirmed links only, at
+   most one less than they have texts.
 4. Components of the confirmed links.
 
 Exact copies are one node (a 64-bit hash of the text; two texts of n share one with a probability of about
 n * n / 2 ** 65), so copies are neither paired nor compared. Sets hold 64-bit hashes of shingles.
 
 A linked pair at the similarity bound itself shares no band with a probability of 3e-9 at 0.85 and 3e-6 at 0.8,
-and the screen's margin is SIGMAS standard errors.
+and the screen's margin is SIGMAS standard errors. The blocks of a cluster grow with the square of its chunks, and each
+gets its texts: that is the exact way, not a cap.
 
 Defined results: null, empty and white texts have no shingles and are linked with nothing; short texts are one shingle;
 repeated rows are rows of their own with one label; null ids sort after all others, and a component of null ids alone
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, whole
 from .components import components
 
 ROWS, BANDS, BITS, SIGMAS, CHUNK = 6, 42, 4, 5.0, 1000
 HASHES = ROWS * BANDS
 _LOW = np.uint64(0x1111111111111111)
+_NONE = np.empty(0, np.int64)
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -93,66 +95,74 @@ def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, offsets = [], [], [0]
+            sizes, keys, offsets, packed = [], [], [0], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), width)
                 sizes.append(len(s))
-                if len(s):
-                    keys.append(sketch(s)[0])
-                offsets.append(offsets[-1] + (BANDS if len(s) else 0))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.record_batch([b.column("id"), b.column("node"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "node", "n_shingles", "bands"])
+                bands, signature = sketch(s) if len(s) else (_NONE, None)
+                keys.append(bands)
+                packed.append(None if signature is None else signature.tobytes())
+                offsets.append(offsets[-1] + len(bands))
+            flat = np.concatenate(keys) if keys else _NONE
+            yield pa.record_batch([b.column("id"), b.column("node"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "node", "n_shingles", "packed", "bands"])
 
     return run
 
 
-def links_within(nodes: np.ndarray, texts: list[str], percent: int, width: int = 5) -> list[tuple[int, int]]:
-    """Confirmed links that connect what the block's candidate pairs connect; at most len(nodes) - 1."""
-    order = np.argsort(nodes)
-    nodes, sets = nodes[order], [shingles(texts[i], width) for i in order]
-    made = [sketch(s) for s in sets]
-    bands, packed, sizes = np.array([m[0] for m in made]), np.array([m[1] for m in made]), np.array([len(s) for s in sets])
-    root = np.arange(len(nodes))
+def _bound(percent: int) -> float:
+    """The least estimated similarity that isn't screened out."""
+    bound = percent / 100
+    return bound - SIGMAS * (1 + 2.0**-BITS) * (bound * (1 - bound) / HASHES) ** 0.5
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    bound = percent / 100
-    least = bound - SIGMAS * (1 + 2.0**-BITS) * (bound * (1 - bound) / HASHES) ** 0.5
+class _Sets:
+    """Shingle sets of a block, made when they are first asked for."""
+
+    def __init__(self, texts: list[str], width: int):
+        self.texts, self.width, self.made = texts, width, {}
+
+    def linked(self, i: int, j: int, percent: int) -> bool:
+        for k in (i, j):
+            if k not in self.made:
+                self.made[k] = shingles(self.texts[k], self.width)
+        a, b = self.made[i], self.made[j]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _likely(packed: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Those of `rest` that may be linked with i, by sizes and signatures."""
+    rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+    return rest[similarity(packed[i], packed[rest]) >= _bound(percent)] if len(rest) else rest
+
+
+def links_within(nodes: np.ndarray, texts: list[str], percent: int, width: int = 5, packed: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Confirmed links that connect all that are linked in the block; at most len(nodes) - 1."""
+    order = np.argsort(nodes)
+    nodes, texts = nodes[order], [texts[i] for i in order]
+    sets = _Sets(texts, width)
+    if packed is None:
+        packed = np.array([sketch(shingles(t, width))[1] for t in texts])
+    else:
+        packed = packed[order]
+    sizes = np.array([len(shingles(t, width)) for t in texts]) if sizes is None else sizes[order]
+    part = np.arange(len(nodes))
     out = []
-    for band in range(BANDS):
-        by = np.argsort(bands[:, band], kind="stable")
-        edges = np.flatnonzero(np.diff(bands[by, band])) + 1
-        for group in np.split(by, edges):
-            if len(group) < 2:
-                continue
-            for k, i in enumerate(group[:-1]):
-                rest = group[k + 1 :]
-                mine = find(i)
-                rest = rest[np.array([find(j) for j in rest]) != mine]
-                if not len(rest):
-                    continue
-                # a pair that meets in an earlier band was dealt with there
-                rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)] if band else rest
-                fits = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
-                rest = rest[fits]
-                rest = rest[similarity(packed[i], packed[rest]) >= least] if len(rest) else rest
-                for j in rest:
-                    if find(i) == find(j):
-                        continue
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                        root[find(j)] = find(i)
-                        out.append((int(nodes[i]), int(nodes[j])))
+    for i in range(len(nodes) - 1):
+        rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        if not len(rest):
+            continue
+        for j in _likely(packed, sizes, i, rest, percent):
+            if part[i] != part[j] and sets.linked(i, j, percent):
+                part[part == part[j]] = part[i]
+                out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
 def _confirm(percent: int, width: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        found = links_within(block["node"].to_numpy(), block["text"].tolist(), percent, width)
+        packed = np.frombuffer(b"".join(block["packed"]), np.uint64).reshape(len(block), -1)
+        found = links_within(block["node"].to_numpy(), block["text"].tolist(), percent, width, packed, block["n_shingles"].to_numpy())
         return pd.DataFrame({"src": [a for a, _ in found], "dst": [b for _, b in found]}, dtype="int64")
 
     return run
@@ -162,21 +172,24 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     """(id, node, n_shingles, component, first): a row for each row of `docs`; component: the smallest id that can be reached; first: the node that has it."""
     spark = docs.sparkSession
     shared_dir(spark)
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).alias("text"))
-    sketched = cut(src.mapInArrow(_sketches(width), "id bigint, node bigint, n_shingles bigint, bands array<bigint>"))
+    src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
+    sketched = cut(src.mapInArrow(_sketches(width), "id bigint, node bigint, n_shingles bigint, packed binary, bands array<bigint>"))
     keys = sketched.select(F.explode("bands").alias("key"), "node")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
     ties = keys.join(hubs, "key").filter("node != hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
     clusters = components(ties)
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunked = clusters.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    texts = src.groupBy("node").agg(F.first("text").alias("text")).join(chunked, "node")
+    signed = sketched.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"))
+    texts = src.groupBy("node").agg(F.first("text").alias("text")).join(chunked, "node").join(signed, "node")
     # Chunk c meets every other chunk; one or two chunks are a single block.
     single = F.col("chunks") < 3
     dealt = texts.withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))).filter(single | (F.col("other") != F.col("chunk")))
     blocks = dealt.select(
         "node",
         "text",
+        "n_shingles",
+        "packed",
         "label",
         F.when(single, 0).otherwise(F.least("chunk", "other")).alias("low"),
         F.when(single, 0).otherwise(F.greatest("chunk", "other")).alias("high"),
