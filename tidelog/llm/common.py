@@ -52,12 +52,6 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def salted(left: DataFrame, right: DataFrame, on: str, by: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """Join rows to the one row of `right` for their key. A key that many rows have is spread over `salts` tasks by another column; `right` is repeated."""
-    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [on, "__salt"], how).drop("__salt")
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; other letters stay, unlike with `lower`."""
     return F.translate(text, UPPER, LOWER)
