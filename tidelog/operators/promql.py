@@ -2,7 +2,8 @@
 
 Series are (by..., ts, value). Times are integer epoch seconds. A long series isn't one task's: windows run within blocks
 of `block` seconds (or whatever unit the order has), and what crosses an edge is carried from the rows or the sums of the
-block before. Samples of a series have times of their own; of equal ones any order holds.
+block before. Samples of a series have times of their own; of equal ones any order holds, or that of the columns `ties`
+where a function takes them.
 """
 
 from __future__ import annotations
@@ -37,12 +38,17 @@ def _with_edges(rows: DataFrame, ts: str, seconds: int, block: int) -> DataFrame
     return dealt.withColumn("__x", F.explode(F.array_compact(F.array(own, late)))).withColumn("__b", F.col("__x.b")).withColumn("__ghost", F.col("__x.g")).drop("__x")
 
 
-def previous(samples: DataFrame, by: tuple[str, ...], ts: str, name: str, value: Column, block: int = BLOCK) -> DataFrame:
-    """Add `name`, the `value` of the series' sample before; null for the first one."""
+def _place(ts: str, ties: tuple[str, ...]) -> Column:
+    """A sample's place in its series; null without a time."""
+    return F.when(F.col(ts).isNotNull(), F.struct(ts, *ties))
+
+
+def previous(samples: DataFrame, by: tuple[str, ...], ts: str, name: str, value: Column, block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add `name`, the `value` of the series' sample before; null for the first one. Samples of one `ts` go by `ties`."""
     dealt = _blocked(samples, ts, block).withColumn("__v", value)
-    lasts = dealt.groupBy(*by, "__b").agg(F.max_by(F.struct("__v"), ts).alias("__last"))
+    lasts = dealt.groupBy(*by, "__b").agg(F.max_by(F.struct("__v"), _place(ts, ties)).alias("__last"))
     before = lasts.withColumn("__before", F.lag("__last").over(W.partitionBy(*by).orderBy("__b"))).drop("__last")
-    inside = dealt.withColumn("__prev", F.lag(F.struct("__v")).over(W.partitionBy(*by, "__b").orderBy(ts)))
+    inside = dealt.withColumn("__prev", F.lag(F.struct("__v")).over(W.partitionBy(*by, "__b").orderBy(ts, *ties)))
     met = attached(inside, before, [*by, "__b"])
     return met.withColumn(name, F.coalesce("__prev", "__before")["__v"]).drop("__b", "__v", "__prev", "__before")
 
@@ -100,20 +106,22 @@ def quantile(buckets: DataFrame, q: float, by: tuple[str, ...], le: str = "le",
     return per.select(*by, out.alias("quantile"))
 
 
-def sustained(samples: DataFrame, condition: Column, seconds: int, by: tuple[str, ...] = (), ts: str = "ts", block: int = BLOCK) -> DataFrame:
+def sustained(samples: DataFrame, condition: Column, seconds: int, by: tuple[str, ...] = (), ts: str = "ts", block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
     """(by..., started, ended, fires_at) of each run of samples in which the condition held for at least `seconds`.
 
     A run starts where the condition begins to hold; every later sample of it takes the last start before it, from its block
-    or from the blocks before. An alert fires at the first sample that old.
+    or from the blocks before. An alert fires at the first sample that old. Samples of one `ts` go by `ties`; without them
+    any order of theirs holds, and with it which runs there are.
     """
     marked = samples.withColumn("__on", F.coalesce(condition, F.lit(False)))
-    edge = previous(marked, by, ts, "__was", F.col("__on"), block).withColumn("__start", F.when(F.col("__on") & ~F.coalesce("__was", F.lit(False)), F.col(ts)))
+    edge = previous(marked, by, ts, "__was", F.col("__on"), block, ties).withColumn("__start", F.when(F.col("__on") & ~F.coalesce("__was", F.lit(False)), _place(ts, ties)))
     dealt = _blocked(edge, ts, block)
     starts = dealt.groupBy(*by, "__b").agg(F.max("__start").alias("__late"))
     carried = starts.withColumn("__carried", F.max("__late").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))).drop("__late")
-    inside = dealt.withColumn("__own", F.max("__start").over(W.partitionBy(*by, "__b").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)))
+    inside = dealt.withColumn("__own", F.max("__start").over(W.partitionBy(*by, "__b").orderBy(ts, *ties).rowsBetween(W.unboundedPreceding, 0)))
     runs = attached(inside, carried, [*by, "__b"]).filter("__on").withColumn("started", F.coalesce("__own", "__carried"))
-    out = runs.groupBy(*by, "started").agg(F.max(ts).alias("ended"), F.min(F.when(F.col(ts) - F.col("started") >= seconds, F.col(ts))).alias("fires_at"))
+    runs = runs.withColumn("__run", F.col("started")).withColumn("started", F.col("__run")[ts])
+    out = runs.groupBy(*by, "__run", "started").agg(F.max(ts).alias("ended"), F.min(F.when(F.col(ts) - F.col("started") >= seconds, F.col(ts))).alias("fires_at"))
     return out.filter("fires_at is not null").select(*by, "started", "ended", "fires_at")
 
 
