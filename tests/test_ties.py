@@ -16,7 +16,7 @@ def _stored(path, rows, order):
     """Events (event_id, seconds, user_id, event_type, value) in a folder of the testdata form, stored in an order."""
     c = duckdb.connect()
     c.execute("create table e (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
-    c.executemany("insert into e values (?, ?, ?, ?, ?, '{}')", [(i, DAY + datetime.timedelta(seconds=at), u, kind, v) for i, at, u, kind, v in rows])
+    c.executemany("insert into e values (?, ?, ?, ?, ?, '{}')", [(i, None if at is None else DAY + datetime.timedelta(seconds=at), u, kind, v) for i, at, u, kind, v in rows])
     c.execute(f"copy (select * from e order by {order}) to '{path}/events.parquet' (format parquet)")
     return c, str(path)
 
@@ -56,3 +56,19 @@ def test_runs_of_one_second_are_apart(spark, block):
     d = spark.createDataFrame([(5, n, n % 2) for n in (3, 2, 1, 0)] + [(None, 9, 1), (6, 4, 1)], "ts bigint, n bigint, v int")
     got = promql.sustained(d, F.col("v") == 1, 0, block=block, ties=("n",)).collect()
     assert sorted(tuple(r) for r in got) == [(5, 5, 5), (5, 6, 5)]
+
+
+@pytest.mark.parametrize("order", ["event_id", "event_id desc"])
+@pytest.mark.parametrize("kinds", [("view", "click", "error", "signup", "purchase"), ("purchase", "signup", "error", "click", "view")])
+def test_checkpoints_in_one_second(spark, tmp_path, order, kinds):
+    times = (5.1, 7.2, 7.2, 7.8, 7.9)
+    late = [(10 + i, 7.95 + i, 1, kind, 1.0) for i, kind in enumerate(kinds)]
+    c, d = _stored(tmp_path, [*((i, times[i], 1, kind, 1.0) for i, kind in enumerate(kinds)), *late, (20, None, 1, kinds[4], 1.0)], order)
+    got = {r["event_type"]: (r["ordinal"], r["mode"], r["checkpoint"]) for r in registry.queries()["wn8_checkpoints"](spark, d).collect()}
+    modes = [("initial", "initial"), ("initial", "initial"), ("crash", None), ("failover", "failover"), ("failover", "failover")]
+    assert got == {kind: (i, *modes[i]) for i, kind in enumerate(kinds)}
+    sql = registry.oracle_sql()["wn8_checkpoints"]
+    settled = sql.replace(" as at_seconds from events", " as at_seconds, min((ts, event_id)) filter (where ts is not null) as first from e").replace("order by at_seconds", "order by at_seconds, first")
+    assert settled.count(" first") == 2
+    c.execute(f"select event_type, ordinal, mode, checkpoint from ({settled})")
+    assert got == {kind: tuple(rest) for kind, *rest in c.fetchall()}

@@ -175,9 +175,12 @@ def bundle_checks(spark: SparkSession, root: str) -> DataFrame:
 CHECKPOINTS = ((0, "initial", "initial"), (2, "crash", None), (3, "failover", "failover"), (5, "restart-pending", None), (6, "final", "final"))
 
 
-def checkpoints(timeline: DataFrame, order: str = "at_seconds") -> DataFrame:
-    """Add `ordinal`, `mode` and `checkpoint` (null between checkpoints) to the events of one timeline, a handful of rows."""
-    out = timeline.withColumn("ordinal", F.row_number().over(W.orderBy(order)) - 1)
+def checkpoints(timeline: DataFrame, order: str = "at_seconds", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add `ordinal`, `mode` and `checkpoint` (null between checkpoints) to the events of one timeline, a handful of rows.
+
+    Events of equal `order` go by `ties`.
+    """
+    out = timeline.withColumn("ordinal", F.row_number().over(W.orderBy(order, *ties)) - 1)
     mode, checkpoint = None, None
     for at, name, shown in reversed(CHECKPOINTS):
         here = F.col("ordinal") >= at

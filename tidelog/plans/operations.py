@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,8 +129,10 @@ def wn7_relative_seconds(s, d):
 
 @query(f"with t as (select event_type, min({_EPOCH}) as at_seconds from events group by 1), o as (select *, row_number() over (order by at_seconds) - 1 as ordinal from t) select event_type, ordinal, case when ordinal >= 6 then 'final' when ordinal >= 5 then 'restart-pending' when ordinal >= 3 then 'failover' when ordinal >= 2 then 'crash' else 'initial' end as mode, case when ordinal >= 6 then 'final' when ordinal >= 5 then null when ordinal >= 3 then 'failover' when ordinal >= 2 then null else 'initial' end as checkpoint from o")
 def wn8_checkpoints(s, d):
-    timeline = _events(s, d).groupBy("event_type").agg(F.min(promql.epoch("ts")).alias("at_seconds"))
-    return evidence.checkpoints(timeline).select("event_type", "ordinal", "mode", "checkpoint")
+    # First events of one second go by their exact time and their number: in one decimal, as a struct's minimum would sort all rows.
+    first = F.min(F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + e_())
+    timeline = _events(s, d).groupBy("event_type").agg(F.min(promql.epoch("ts")).alias("at_seconds"), first.alias("first"))
+    return evidence.checkpoints(timeline, ties=("first",)).select("event_type", "ordinal", "mode", "checkpoint")
 
 
 @query(f"with {_OBS}, b as (select operation, case when duration_ns <= 100000 then 0 when duration_ns <= 500000 then 1 when duration_ns <= 1000000 then 2 when duration_ns <= 5000000 then 3 when duration_ns <= 10000000 then 4 when duration_ns <= 50000000 then 5 else 6 end as bucket from obs) select operation, bucket, count(*) as observations from b group by 1, 2")
